@@ -65,3 +65,21 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: A key with at least this share of all rows counts as hot; so there are at most this many hot keys.
+HOT_SHARE = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, count_col: str, total: int) -> DataFrame:
+    """Left join of a ``right`` table with one row per ``key``, safe against hot keys of ``left``.
+
+    ``count_col`` of ``right`` says how many of the ``total`` rows of ``left`` have the key. Keys with a
+    thousandth of the rows or more number a thousand at most: that proven bound lets them be broadcast, and the
+    rest is joined by shuffle, where no key has more than a thousandth. ``count_col`` is dropped.
+    """
+    from pyspark.sql import functions as F
+
+    hot = F.broadcast(right.where(F.col(count_col) * HOT_SHARE >= total).drop(count_col))
+    cold = right.where(F.col(count_col) * HOT_SHARE < total).drop(count_col)
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(cold, key, "left"))
