@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, decontaminate, token_count, url_filter
+from . import bpe, decontaminate, simhash, token_count, url_filter
 
 BLOCK_RULES = ["net/", "example.com/de/"]
 ALLOW_RULES = ["example.net/en/", "org/fr/"]
@@ -28,6 +28,11 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages"), BLOCK_RULES, ALLOW_RULES, keep=["page_id"])
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
+    "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
 

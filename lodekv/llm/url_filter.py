@@ -184,10 +184,10 @@ def filter_urls(pages: DataFrame, block: list[str], allow: list[str], url_col: s
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
     key = candidates(F.col("host"), F.col("path"), rules)
-    listed = spark.createDataFrame([(r, "b") for r in block] + [(r, "a") for r in allow], "key string, kind string")
-    seen = parsed.select(F.explode(key).alias("key"), F.lit("").alias("kind"))
+    listed = spark.createDataFrame([(r, 2) for r in block] + [(r, 1) for r in allow], "key string, kind int")
+    seen = parsed.select(F.explode(key).alias("key"), F.lit(0).alias("kind"))
     universe = seen.unionByName(listed).groupBy("key").agg(F.max("kind").alias("kind"))
-    universe = materialize(universe.select("key", (F.col("kind") == "b").alias("blocked"), (F.col("kind") == "a").alias("allowed")), "url-universe")
+    universe = materialize(universe.select("key", (F.col("kind") == 2).alias("blocked"), (F.col("kind") == 1).alias("allowed")), "url-universe")
     blocked, allowed = SlicedCascade.build(universe, "blocked", max_bits), SlicedCascade.build(universe, "allowed", max_bits)
     discard(universe)
 
