@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, decontaminate, simhash, token_count, url_filter
+from . import bpe, decontaminate, langid, simhash, token_count, url_filter
 
 BLOCK_RULES = ["net/", "example.com/de/"]
 ALLOW_RULES = ["example.net/en/", "org/fr/"]
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.in_fold("doc_id", 3) == 1
+    models = langid.fit(docs.where(~held_out))
+    out = langid.identify(docs.select("doc_id", "text"), models, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), keep=["doc_id"], values=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -39,6 +47,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
