@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, decontaminate, langid, simhash, token_count, url_filter
+from . import bpe, decontaminate, html_extract, langid, simhash, token_count, url_filter, warc
 
 BLOCK_RULES = ["net/", "example.com/de/"]
 ALLOW_RULES = ["example.net/en/", "org/fr/"]
@@ -36,6 +36,15 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages.select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
+    "op6_warc": op6_warc,
+    "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
@@ -86,4 +97,13 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": _OP3_SQL, "op10_url_filter": _OP10_SQL}
+_OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS keeper FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)
+SELECT page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": _OP6_SQL, "op3_decontaminate": _OP3_SQL, "op10_url_filter": _OP10_SQL}
