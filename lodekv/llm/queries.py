@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, decontaminate, html_extract, langid, simhash, token_count, url_filter, warc
+from . import bpe, ctw, decontaminate, html_extract, langid, simhash, token_count, url_filter, warc
 
 BLOCK_RULES = ["net/", "example.com/de/"]
 ALLOW_RULES = ["example.net/en/", "org/fr/"]
@@ -40,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"), langid.in_fold("doc_id", 5) != 1)
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extract(pages.select("page_id", "url", "html"), keep=["page_id", "url"])
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
     "op6_warc": op6_warc,
+    "op7_ctw": op7_ctw,
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
