@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, ctw, decontaminate, html_extract, langid, simhash, token_count, url_filter, warc
+from . import ann, bpe, ctw, decontaminate, html_extract, langid, simhash, token_count, url_filter, warc
 
 BLOCK_RULES = ["net/", "example.com/de/"]
 ALLOW_RULES = ["example.net/en/", "org/fr/"]
@@ -36,6 +36,10 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
+    "op5_ann": op5_ann,
     "op6_warc": op6_warc,
     "op7_ctw": op7_ctw,
     "op8_html": op8_html,
