@@ -9,9 +9,10 @@ log-probabilities and log-back-off weights beside them.
 Scoring: every character of the whole text is coded with each model; a text goes to the language of lowest
 length-normalised cross-entropy. Looked-up n-grams are remembered in a fixed-size table per worker.
 
-Rejection is calibrated on held-back sample texts of each language: a text is not accepted if its cross-entropy is
-more than ``REJECT_SIGMAS`` standard deviations of its length class above the mean of its language. ``score``
-is the posterior of the language at a temperature fitted on the same texts.
+Rejection is calibrated on held-back sample texts: a text is not accepted if its language's model codes it worse
+than it codes texts of the nearest other language, by more than ``REJECT_SIGMAS`` standard deviations for its
+length. So mixed texts stay, and noise goes. ``score`` is the posterior of the language at a temperature
+fitted on the same texts.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and is not accepted; ties go to
 the language that sorts first; without any labelled text everything is ``und``. Labels beyond the
@@ -35,7 +36,9 @@ from .columns import texts, with_columns
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS = 800, 2000, 6_000_000
 MAX_LANGUAGES = 256
-REJECT_SIGMAS = 8.0
+REJECT_SIGMAS = 4.0
+#: Nats a character above a language's own mean where there is no other language to compare with.
+FOREIGN = 1.5
 UNDETERMINED = "und"
 #: Characters that are coded at once, and remembered n-grams per worker (a power of two).
 SLAB, REMEMBERED = 500_000, 1 << 20
@@ -181,7 +184,7 @@ class LanguageModels:
     def _calibrate(self, held: list[tuple[int, np.ndarray]]) -> None:
         """Mean and spread of a character's code length per language, and the temperature of the posterior."""
         self.mean, self.spread, self.per_text = (np.full(len(self.models), x) for x in (2.5, 2.0, 0.3))
-        self.temperature = 20.0
+        self.foreign = self.mean + FOREIGN
         coder = Coder(self)
         results = [(k, coder.losses(s), len(s)) for k, s in held]
         for k in range(len(self.models)):
@@ -192,6 +195,8 @@ class LanguageModels:
                 means = np.array([m for m, _ in own])
                 self.mean[k], self.spread[k] = float(every.mean()), float(every.std()) + 0.05
                 self.per_text[k] = float(means.std()) + 0.02
+            others = [float(np.mean([x[:, k].mean() for i, x, _ in results if i == j])) for j in {i for i, _, _ in results} - {k}]
+            self.foreign[k] = max(self.mean[k], min(others, default=self.mean[k] + FOREIGN))
         scores = [(k, -x.sum(0) / np.sqrt(len(x))) for k, x, _ in results]
         best = None
         for t in (0.5, 1.0, 2.0, 4.0, 8.0):
@@ -202,7 +207,7 @@ class LanguageModels:
 
     def limit(self, k: int, n: int) -> float:
         """The highest accepted cross-entropy of a text of n characters."""
-        return float(self.mean[k] + REJECT_SIGMAS * np.sqrt(self.spread[k] ** 2 / n + self.per_text[k] ** 2))
+        return float(self.foreign[k] + REJECT_SIGMAS * np.sqrt(self.spread[k] ** 2 / n + self.per_text[k] ** 2))
 
 
 def _log_sum(x: np.ndarray) -> float:
