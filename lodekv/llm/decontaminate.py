@@ -242,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         out = with_columns(out, "__scan", added, make)
         if earlier is not None:
-            pair = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) / 2 - 1), lambda i: F.struct(F.get(c, (i * 2).cast("int")).alias("a"), F.get(c, (i * 2 + 1).cast("int")).alias("b")))
+            pair = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2).cast("int") - 1), lambda i: F.struct(F.get(c, i * 2).alias("a"), F.get(c, i * 2 + 1).alias("b")))
             pairs = lambda c: F.when(F.size(c) > 0, pair(F.col(c))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
             out = out.withColumns({
                 "__items": F.array_sort(F.array_union("__items_0", "__items")),
