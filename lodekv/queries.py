@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import workload as w
 from .functions.hashing import bloom_positions, crc
-from .operators import digest, repair, replay, ring, snapshot
+from .operators import bloom, digest, repair, replay, ring, snapshot
 from .plans import reveal
 from .runtime import table
 from .sources.textlog import parse_lines
@@ -59,6 +59,12 @@ def _peer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return held.where("node <> 'NodeA'").select("key", "value").distinct(), held.where("node = 'NodeA'").select("key", "value")
 
 
+def _bloom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customer keys against a filter, sized for 100 keys, of those with a number below 100."""
+    keys = w.kv_customer(spark, sf_dir).select("key")
+    return bloom.check(keys, bloom.build(keys.where("cast(substring(key, 10) as int) < 100"), 100), 100)
+
+
 QUERIES: dict[str, Query] = {
     # scans and state
     "run_scan": lambda s, d: w.runs(s, d).where("run_id = 1").select("run_id", "key", "value"),
@@ -119,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "repair_owned": lambda s, d: repair.owned(*_peer(s, d), ring.Ring(w.NODES), "NodeA"),
     "bloom_fnv": lambda s, d: w.kv_customer(s, d).select("key", F.array_join(bloom_positions(s, "key", 100), ",").alias("positions")),
 }
+QUERIES["bloom_check"] = _bloom_check
 
 _CUSTOMER = "SELECT 'customer:' || c_custkey AS key, c_name AS value FROM customer"
 _MIXED = f"{_CUSTOMER} UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'part:' || p_partkey, p_name FROM part"
@@ -175,6 +182,10 @@ def _paged(keys: str, offset: int, limit: int) -> str:
     return f"SELECT key, (row_number() OVER (ORDER BY key) - 1)::INT AS pos FROM (SELECT key FROM ({keys}) ORDER BY key LIMIT {limit} OFFSET {offset})"
 
 
+_FNV = f"""WITH f AS (SELECT key, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(length(key)), lambda i: ord(key[i + 1])::HUGEINT)),
+  lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) & 18446744073709551615::HUGEINT) AS h FROM ({_CUSTOMER})),
+p AS (SELECT key, list_transform(range(6), lambda i: (((h & 4294967295::HUGEINT) + i * greatest(h >> 32, 1::HUGEINT)) & 4294967295::HUGEINT) % 958) AS bits_at FROM f)"""
+
 ORACLE_SQL: dict[str, str] = {
     "run_scan": f"SELECT * FROM ({_RUNS}) WHERE run_id = 1",
     "run_keys": f"SELECT key FROM ({_RUNS}) WHERE run_id = 1",
@@ -227,7 +238,6 @@ ORACLE_SQL: dict[str, str] = {
     "merkle_equal": "SELECT true AS equal",
     "repair_missing": _MISSING,
     "repair_owned": f"SELECT m.key, m.value FROM ({_MISSING}) m JOIN ({_SECOND}) p ON m.key = p.key WHERE p.node = 'NodeA' OR p.second = 'NodeA'",
-    "bloom_fnv": f"""WITH f AS (SELECT key, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(length(key)), lambda i: ord(key[i + 1])::HUGEINT)),
-  lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) & 18446744073709551615::HUGEINT) AS h FROM ({_CUSTOMER}))
-SELECT key, array_to_string(list_transform(range(6), lambda i: (((h & 4294967295::HUGEINT) + i * greatest(h >> 32, 1::HUGEINT)) & 4294967295::HUGEINT) % 958), ',') AS positions FROM f""",
+    "bloom_fnv": f"{_FNV} SELECT key, array_to_string(bits_at, ',') AS positions FROM p",
+    "bloom_check": f"{_FNV}, b AS (SELECT list(DISTINCT x) AS bits FROM (SELECT unnest(bits_at) AS x FROM p WHERE substr(key, 10)::INT < 100)) SELECT key, list_has_all(bits, bits_at) AS maybe FROM p, b",
 }
