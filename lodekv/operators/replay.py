@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 from ..model import BANISH, MORPH, PLANT
 
 
-def replay(log: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+#: Sequence numbers of one chunk of a key's history; a key with more of them is replayed by several tasks.
+CHUNK = 1 << 20
+
+
+def replay(log: DataFrame, initial: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """``seq, key, op, applied`` (and ``value``) of every row of a log of single-pair operations.
 
     A MORPH never changes presence, and a PLANT that is rejected leaves the key present; so presence before a row
     is that after the last operation before it that is not a MORPH. ``initial`` are the keys present at first.
+
+    A hot key's history is cut into chunks: a pre-aggregation finds the last such operation of each chunk, a window
+    over chunks carries it on, and the rows are then judged by windows within single chunks.
     """
-    rows = log.select("seq", "key", "op", "value")
-    if initial is not None:
-        born = initial.select(F.lit(None).cast("long").alias("seq"), "key", F.lit("SET").alias("op"), F.col("value"))
-        rows = rows.unionByName(born)
-    before = Window.partitionBy("key").orderBy(F.asc_nulls_first("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.last(F.when(F.col("op") != MORPH, F.col("op")), ignorenulls=True).over(before)
+    rows = log.select("seq", "key", "op", "value", F.floor(F.col("seq") / chunk).alias("__chunk"))
+    lasting = F.col("op") != MORPH
+    ends = rows.groupBy("key", "__chunk").agg(F.max_by(F.when(lasting, F.col("op")), F.when(lasting, F.col("seq"))).alias("op"))
+    if initial is not None:  # before all chunks
+        ends = ends.unionByName(initial.select("key", F.lit(None).cast("long").alias("__chunk"), F.lit("SET").alias("op")))
+    earlier = Window.partitionBy("key").orderBy(F.asc_nulls_first("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("key", "__chunk", F.last("op", ignorenulls=True).over(earlier).alias("op")).where("op IS NOT NULL AND __chunk IS NOT NULL")
+    born = carried.select(F.lit(None).cast("long").alias("seq"), "key", "op", F.lit(None).cast("string").alias("value"), "__chunk")
+    before = Window.partitionBy("key", "__chunk").orderBy(F.asc_nulls_first("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.last(F.when(lasting, F.col("op")), ignorenulls=True).over(before)
     present = F.coalesce(kind != BANISH, F.lit(False))
     applied = F.when(F.col("op") == PLANT, ~F.col("__present")).when(F.col("op") == MORPH, F.col("__present")).otherwise(True)
-    return rows.withColumn("__present", present).where("seq IS NOT NULL").select("seq", "key", "op", applied.alias("applied"), "value")
+    return rows.unionByName(born).withColumn("__present", present).where("seq IS NOT NULL").select("seq", "key", "op", applied.alias("applied"), "value")
 
 
 def replay_state(log: DataFrame, initial: DataFrame | None = None) -> DataFrame:

@@ -65,7 +65,11 @@ def test_replay_against_fold(spark):
     df = spark.createDataFrame(ops, "seq long, op string, key string, value string").repartition(3)
     state, applied = fold(ops)
     assert sorted((r.seq, r.applied) for r in replay.replay(df).collect()) == applied
+    assert sorted((r.seq, r.applied) for r in replay.replay(df, chunk=30).collect()) == applied
     assert {r.key: r.value for r in replay.replay_state(df).collect()} == state
+    some = spark.createDataFrame([("a", "x"), ("zz", "y")], "key string, value string")
+    want = fold([(-1, "SET", "a", "x"), (-1, "SET", "zz", "y"), *ops])[1][2:]
+    assert sorted((r.seq, r.applied) for r in replay.replay(df, some, chunk=30).collect()) == want
     first, second = df.where("seq < 200"), df.where("seq >= 200")
     assert {r.key: r.value for r in replay.replay_state(second, replay.replay_state(first)).collect()} == state
 
