@@ -6,8 +6,9 @@ softmax classifier learns each vector's distribution of its neighbours' parts. T
 bounded size and is broadcast.
 
 Index: every vector goes to its most probable part. Search: a query goes to the most probable parts until their
-probabilities sum to ``MASS`` (at least ``MIN_PROBES``), and its candidates there are reranked by exact
-double-precision inner products. Parts larger than the average are split into blocks by hash (at most ``BLOCK_BYTES`` of candidates), and
+probabilities sum to a mass (at least ``MIN_PROBES`` of them), and its candidates there are reranked by exact
+double-precision inner products. The mass is the least that reaches ``TARGET_RECALL`` on vectors of the sample
+that were held back from the fit. Parts larger than the average are split into blocks by hash (at most ``BLOCK_BYTES`` of candidates), and
 the queries of a large part too; so a part that holds a third of all rows is many tasks. Each
 block passes on its best k candidates for each query, ties broken by the smaller id, and a query's candidates
 are merged by a window over at most k rows of each block.
@@ -36,7 +37,9 @@ from ..runtime import materialize, workers_can_import
 SAMPLE, GRAPH_NEIGHBOURS = 8000, 10
 #: Parts: ``PARTS``, more (a 32nd of the root of the rows) from a million rows on, fewer for tiny tables.
 PARTS, MAX_PARTS = 32, 256
-MASS, MIN_PROBES = 0.965, 3
+MIN_PROBES = 3
+#: Recall that the probability mass is chosen for, on this many vectors of the sample that the model has not seen.
+TARGET_RECALL, HELD_BACK = 0.95, 500
 #: Candidates of a block: a quarter more than those of an average part, within these bounds (rows, bytes). Queries of a block, about.
 MIN_BLOCK, BLOCK_BYTES, QUERY_BLOCK = 512, 32 << 20, 1024
 HIDDEN, EPOCHS = 96, 30
@@ -146,17 +149,37 @@ class Partitions:
         rng = np.random.default_rng(seed)
         distinct = np.unique(sample, axis=0)  # copies would fill parts with one point
         self.parts = int(min(MAX_PARTS, max(PARTS, np.sqrt(rows) / 32), max(1, len(distinct) // 64)))
-        self.router = None
+        self.router, self.mass = None, 1.0
         if self.parts < 2:
             self.parts = 1
             return
-        graph = neighbour_graph(distinct, GRAPH_NEIGHBOURS)
-        label = balanced_parts(unit(distinct), graph, self.parts, rng)
-        target = np.zeros((len(distinct), self.parts))
+        distinct = distinct[rng.permutation(len(distinct))]
+        back = min(HELD_BACK, len(distinct) // 10)
+        held, seen = distinct[:back], distinct[back:]
+        graph = neighbour_graph(seen, GRAPH_NEIGHBOURS)
+        label = balanced_parts(unit(seen), graph, self.parts, rng)
+        target = np.zeros((len(seen), self.parts))
         for k in range(graph.shape[1]):
-            np.add.at(target, (np.arange(len(distinct)), label[graph[:, k]]), 1.0)
-        target[np.arange(len(distinct)), label] += 1.0
-        self.router = Router(distinct, target / target.sum(1, keepdims=True), rng)
+            np.add.at(target, (np.arange(len(seen)), label[graph[:, k]]), 1.0)
+        target[np.arange(len(seen)), label] += 1.0
+        self.router = Router(seen, target / target.sum(1, keepdims=True), rng)
+        self._choose_mass(held, seen)
+
+    def _choose_mass(self, held: np.ndarray, seen: np.ndarray) -> None:
+        """The least mass that finds enough of the held-back vectors' neighbours."""
+        if not len(held):
+            return
+        label, scores = self.assign(seen), held @ seen.T
+        k = min(2 * GRAPH_NEIGHBOURS, len(seen))
+        truth = label[np.argpartition(-scores, k - 1, axis=1)[:, :k]]
+        sizes = np.bincount(label, minlength=self.parts)
+        for mass in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995):
+            row, part = self.probes(held, mass, MIN_PROBES, sizes, k)
+            probed = np.zeros((len(held), self.parts), np.bool_)
+            probed[row, part] = True
+            if probed[np.arange(len(held))[:, None], truth].mean() >= TARGET_RECALL:
+                self.mass = mass
+                return
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return np.ones((len(x), 1)) if self.router is None else self.router.probabilities(x)
@@ -212,10 +235,10 @@ def top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
             yield at + i, ids[near[best]], scores[best]
 
 
-def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, mass: float = MASS, min_probes: int = MIN_PROBES) -> DataFrame:
+def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, mass: float | None = None, min_probes: int = MIN_PROBES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k nearest found of every row that ``is_query`` selects.
 
-    ``is_query`` is a condition on ``vec_id``. ``mass`` and ``min_probes`` trade time for recall.
+    ``is_query`` is a condition on ``vec_id``. ``mass`` (default: as fitted) and ``min_probes`` trade time for recall.
     """
     spark = df.sparkSession
     workers_can_import(spark)
@@ -226,6 +249,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     share = min(1.0, SAMPLE / n)
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(2 * SAMPLE).toArrow()
     model = Partitions(_matrix(drawn.column(0)), n)
+    mass = model.mass if mass is None else mass
     shipped = spark.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

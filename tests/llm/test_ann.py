@@ -34,7 +34,7 @@ def test_partition_is_balanced_and_routes_well():
     scores = x[q] @ x.T
     scores[np.arange(len(q)), q] = -9
     truth = np.argsort(-scores, axis=1)[:, :20]
-    r, p = model.probes(x[q], ann.MASS, ann.MIN_PROBES, sizes, 21)
+    r, p = model.probes(x[q], model.mass, ann.MIN_PROBES, sizes, 21)
     probed = np.zeros((len(q), model.parts), bool)
     probed[r, p] = True
     assert probed[np.arange(len(q))[:, None], label[truth]].mean() > 0.9
