@@ -18,13 +18,10 @@ def nodes_of(streams):
     gram, _ = ctw.grams_of(streams)
     keys, counts = np.unique(gram, return_counts=True)
     held.add(keys, counts)
-    by_depth = [[[], [], [], []] for _ in range(ctw.DEPTH + 1)]
+    table = ctw.NodeTable()
     for columns in held.rows():
-        for d in range(ctw.DEPTH + 1):
-            mine = columns[0] >> 32 == d
-            for k, c in enumerate((columns[0] & 0xFFFFFFFF, *columns[1:])):
-                by_depth[d][k].append(c[mine])
-    return [tuple(np.concatenate(c) for c in d) for d in by_depth]
+        table.put(*columns)
+    return table
 
 
 def kt(a, b):
