@@ -199,27 +199,47 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
+class NodeTable:
+    """Counts and parents of all nodes on the driver, in arrays of fixed size."""
+
+    def __init__(self):
+        self.zeros = [np.zeros(s) for s in SLOTS]
+        self.ones = [np.zeros(s) for s in SLOTS]
+        self.parents = [np.zeros(s, np.int32) for s in SLOTS]
+
+    def put(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, parent: np.ndarray) -> None:
+        for depth in np.unique(node >> 32).tolist():
+            mine = node >> 32 == depth
+            slot = node[mine] & 0xFFFFFFFF
+            self.zeros[depth][slot], self.ones[depth][slot], self.parents[depth][slot] = n0[mine], n1[mine], parent[mine]
+
+
 class ContextTrees:
     """For each slot the KT probability of a one and the weight of the node's own estimate (-1: no counts)."""
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        """``nodes``: for each depth (slots, zeros, ones, parents), each slot once."""
+    def __init__(self, nodes: NodeTable):
+        """Consumes ``nodes``: each depth's counts are freed once they are used."""
         self.ones = [np.full(s, 0.5, np.float32) for s in SLOTS]
         self.weight = [np.full(s, -1.0, np.float32) for s in SLOTS]
         below = None  # sum of the children's weighted log-probabilities, by slot
         for depth in range(DEPTH, -1, -1):
-            slot, n0, n1, parent = nodes[depth]
-            a, b = n0.astype(np.float64), n1.astype(np.float64)
-            own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
-            self.ones[depth][slot] = (b + 0.5) / (a + b + 1)
-            if below is None:
-                self.weight[depth][slot], weighted = 1.0, own
-            else:
-                children = below[slot]
-                self.weight[depth][slot] = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
-                weighted = np.logaddexp(own, children) - np.log(2)
-            if depth:
-                below = np.bincount(parent, weighted, SLOTS[depth - 1])
+            above = np.zeros(SLOTS[depth - 1]) if depth else None
+            for at in range(0, SLOTS[depth], 1 << 18):
+                part = slice(at, at + (1 << 18))
+                slot = at + np.flatnonzero(nodes.zeros[depth][part] + nodes.ones[depth][part])
+                a, b = nodes.zeros[depth][slot], nodes.ones[depth][slot]
+                own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+                self.ones[depth][slot] = (b + 0.5) / (a + b + 1)
+                if below is None:
+                    self.weight[depth][slot], weighted = 1.0, own
+                else:
+                    children = below[slot]
+                    self.weight[depth][slot] = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
+                    weighted = np.logaddexp(own, children) - np.log(2)
+                if depth:
+                    np.add.at(above, nodes.parents[depth][slot], weighted)
+            nodes.zeros[depth] = nodes.ones[depth] = nodes.parents[depth] = None
+            below = above
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """Log10 of the probability of each gram's last byte after the bytes before it."""
@@ -257,17 +277,11 @@ def fit(counts: DataFrame) -> ContextTrees:
     # grams of one deep context stay together, so that a deep node is counted in one place only
     dealt = counts.where("gram IS NOT NULL").select("gram", "n").repartition(F.expr("shiftrightunsigned(gram, 8) & 4294967295"))
     summed = dealt.mapInArrow(nodes, "node long, n0 long, n1 long, parent int").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("parent").alias("parent"))
-    parts = []
-    for row in summed.mapInArrow(pack, "rows long, packed binary").collect():  # at most sum(SLOTS) nodes, 28 bytes each
+    table = NodeTable()
+    for row in summed.mapInArrow(pack, "rows long, packed binary").toLocalIterator():  # at most sum(SLOTS) nodes, 28 bytes each
         raw, n = zlib.decompress(row.packed), row.rows
-        parts.append((np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", n, 16 * n), np.frombuffer(raw, "<i4", n, 24 * n)))
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-    depth = columns[0] >> 32
-    by_depth = []
-    for d in range(DEPTH + 1):
-        mine = depth == d
-        by_depth.append((columns[0][mine] & 0xFFFFFFFF, columns[1][mine], columns[2][mine], columns[3][mine]))
-    return ContextTrees(by_depth)
+        table.put(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", n, 16 * n), np.frombuffer(raw, "<i4", n, 24 * n))
+    return ContextTrees(table)
 
 
 class Scorer:
@@ -346,7 +360,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _frequent(words, frequent)
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    common = {bytes(r.word): float(np.log10(r.n + 0.5)) - norm for r in words.where(F.col("n") >= least).toLocalIterator()}
+    common: dict[bytes, float] = {}
+    if total:
+        known = words.where(F.col("n") >= least).toArrow()  # at most ``frequent`` rows
+        common = dict(zip(known.column("word").to_pylist(), (np.log10(known.column("n").to_numpy() + 0.5) - norm).tolist(), strict=True))
     end_known = bool(total)
     shipped, name = spark.sparkContext.broadcast((fit(counts), common)), uuid.uuid4().hex
     end_score = common.get(END)
