@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..model import APPLIED, BANISH, MORPH, PLANT, SET, KeyExists, KeyMissing
 from ..operators.replay import replay
 from ..operators.snapshot import total
+from ..runtime import materialize
 from ..sources.store import Store
 from . import reveal
 from .statements import Banish, Reveal, Write, parse
@@ -69,17 +70,15 @@ class Engine:
             raise error
         return self._applied(statement.op, "Planted" if statement.op == PLANT else "Morphed", len(accepted))
 
-    def execute_batch(self, writes: DataFrame) -> DataFrame:
+    def execute_batch(self, writes: DataFrame, **note) -> DataFrame:
         """Apply many single-pair operations ``pos, op, key, value`` in order, as one job: ``seq, key, op, applied``.
 
-        Only the state of the written keys is read.
+        Only the state of the written keys is read. ``note`` goes into the manifest with the batch.
         """
         log = writes.withColumnRenamed("pos", "seq")
         before = self.state.join(writes.select("key").distinct(), "key", "left_semi")
-        from ..runtime import materialize
-
         judged = materialize(replay(log, before), "batch")
-        self.store.append(judged.where("applied").select(F.col("seq").alias("pos"), "op", "key", "value"))
+        self.store.append(judged.where("applied").select(F.col("seq").alias("pos"), "op", "key", "value"), **note)
         return judged.drop("value")
 
     # keyed API

@@ -78,17 +78,20 @@ class Store:
 
     # writing
 
-    def append(self, rows: DataFrame, n: int | None = None) -> None:
-        """Add ``pos, op, key, value`` rows as one batch, in order of ``pos`` (a number from 0, unique)."""
-        if n == 0:
-            return
+    def append(self, rows: DataFrame, **note) -> None:
+        """Add ``pos, op, key, value`` rows as one batch, in order of ``pos`` (a number from 0, unique).
+
+        ``note``: entries of the manifest that change with the batch, in the same commit.
+        """
         batch, base = self.manifest["next_batch"], self.manifest["next_seq"]
         target = f"{self.root}/log/batch={batch}"
         numbered = rows.select((F.col("pos").cast("long") + base).alias("seq"), "op", "key", "value")
         numbered.write.mode("overwrite").parquet(target)
         last = self.spark.read.schema(LOG).parquet(target).agg(F.max("seq")).first()[0]
         if last is not None:
-            self._commit(batches=[*self.manifest["batches"], batch], next_batch=batch + 1, next_seq=last + 1)
+            note |= {"batches": [*self.manifest["batches"], batch], "next_batch": batch + 1, "next_seq": last + 1}
+        if note:
+            self._commit(**note)
 
     def compact(self) -> None:
         """Write the state as a new snapshot, sorted by key with a Bloom filter per file, and forget the batches."""

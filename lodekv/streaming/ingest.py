@@ -23,8 +23,8 @@ def ingest(log: DataFrame, engine: Engine, checkpoint: str, compact_bytes: int =
     """Apply a stream of ``seq, op, key, value`` to the engine's store, batch by batch, conditional writes included.
 
     Each micro-batch is replayed against the presence of its keys in the store, appended as one log batch, and the
-    store is compacted when its log has grown. Batches must arrive in order of ``seq``. The epoch is kept in the
-    manifest, so that a batch that is delivered again after a failure is not applied twice.
+    store is compacted when its log has grown. Batches must arrive in order of ``seq``. The epoch enters the
+    manifest in the same commit as its batch, so that a batch that is delivered again is not applied twice.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
@@ -32,11 +32,11 @@ def ingest(log: DataFrame, engine: Engine, checkpoint: str, compact_bytes: int =
         if store.manifest.get("epoch", -1) >= epoch:
             return
         base = batch.agg(F.min("seq")).first()[0]
-        if base is not None:
-            done = engine.execute_batch(batch.select((F.col("seq") - base).alias("pos"), "op", "key", "value"))
-            if on_batch:
-                on_batch(done, epoch)
-        store._commit(epoch=epoch)
+        if base is None:
+            return
+        done = engine.execute_batch(batch.select((F.col("seq") - base).alias("pos"), "op", "key", "value"), epoch=epoch)
+        if on_batch:
+            on_batch(done, epoch)
         store.maintain(compact_bytes)
 
     return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
