@@ -24,8 +24,8 @@ from ..runtime import workers_can_import
 from .columns import texts, with_columns
 from .word_bpe import END, Memo, default_path, vocabulary
 
-#: Words and fragments remembered per worker process.
-MEMO_WORDS, MEMO_FRAGMENTS = 400_000, 200_000
+#: Words and fragments remembered per worker process, twice over.
+MEMO_WORDS, MEMO_FRAGMENTS = 250_000, 50_000
 
 
 class Codec:
@@ -62,15 +62,8 @@ class Codec:
         return out
 
     def _encode_fragment(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
-        ranks, parts = self.vocab.ranks, list(fragment)
-        if len(parts) > 256:
-            parts = merged_long(parts, ranks)
-        while len(parts) > 1:
-            best = min(((r, i) for i in range(len(parts) - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        parts = list(fragment)
+        parts = merged_long(parts, self.vocab.ranks) if len(parts) > 256 else merged_short(parts, self.vocab.ranks)
         ids = self.vocab.ids
         return tuple(ids[p] for p in parts if p in ids)
 
@@ -83,10 +76,9 @@ class Codec:
         ids, decoded = [], []
         look = self.words.__getitem__
         for words, added in self.vocab.pieces(text) if text else ():
-            if words:
-                a, b = zip(*map(look, words), strict=True)
-                ids += a
-                decoded += b
+            found = list(map(look, words))
+            ids += [a for a, _ in found]
+            decoded += [b for _, b in found]
             if added is not None:
                 ids.append(pack("<I", added))
                 decoded.append(self.tokens[added].encode())
@@ -97,8 +89,26 @@ class Codec:
         return " ".join(self.tokens[i] for i in memoryview(ids).cast("I"))
 
 
+_NEVER = 1 << 60
+
+
+def merged_short(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Merge the pair of lowest rank, the first of equals, until none is left; two ranks change with each merge."""
+    get = ranks.get
+    order = [get(pair, _NEVER) for pair in zip(parts, parts[1:], strict=False)]
+    while order and (best := min(order)) != _NEVER:
+        i = order.index(best)
+        parts[i] += parts.pop(i + 1)
+        del order[i]
+        if i < len(order):
+            order[i] = get((parts[i], parts[i + 1]), _NEVER)
+        if i:
+            order[i - 1] = get((parts[i - 1], parts[i]), _NEVER)
+    return parts
+
+
 def merged_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """As the quadratic loop, by a heap: for fragments of hundreds of symbols."""
+    """The same by a heap: for fragments of hundreds of symbols."""
     from heapq import heapify, heappop, heappush
 
     n = len(parts)

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of a batch that become Python objects at once.
+ROWS = 1024
+
 
 def texts(column: pa.Array) -> list[str | None]:
     """Python strings of a string column; bytes that are not UTF-8 become U+FFFD."""
@@ -56,7 +59,7 @@ def with_columns(df: DataFrame, text_col: str, added: T.StructType, make: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             new = [a.cast(f.type) if a.type != f.type else a for a, f in zip(compute(batch.column(width)), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*keep, *(f.name for f in arrow)])
 

@@ -22,8 +22,8 @@ from ..runtime import workers_can_import
 from .columns import texts, with_columns
 from .word_bpe import Memo, default_path, vocabulary
 
-#: Words remembered per worker process.
-MEMO_WORDS = 600_000
+#: Words remembered per worker process, twice over.
+MEMO_WORDS = 400_000
 
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
+from unicodedata import is_normalized
 
 import regex
 
-#: The split pattern of the vocabulary file, after its white space has become single spaces.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+"
-SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+"
+#: The split pattern of the vocabulary file, with its white space (``SPACES``) spelled out.
+SPACES = r" \t\n\v\f\r\x85\xa0"
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
+#: The same for text of Latin letters alone, where character ranges stand for the classes.
+LATIN_LETTERS, LATIN_NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+SPLIT_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{SPACES}{LATIN_LETTERS}{LATIN_NUMBERS}]+"
+SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
 END = "</w>"
 
 _words = regex.compile(SPLIT).findall
-_words_ascii = regex.compile(SPLIT_ASCII).findall
-_white = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
+_words_latin = re.compile(SPLIT_LATIN).findall
+_words_ascii = re.compile(SPLIT_ASCII).findall
+_latin = re.compile(r"[\x00-ɏ‐-‧‰-⁞₠-₿]*").fullmatch
 #: Scripts whose letters and digits have the same classes in every Unicode version that is in use.
-_settled = regex.compile(r"[\x00-ɏΑ-ΡΣ-ωЀ-џḀ-ỿ‐-‧‰-⁞₠-₿、-〩ぁ-ゖァ-ヺ一-龥가-힣]*").fullmatch
+_settled = re.compile(r"[\x00-ɏΑ-ΡΣ-ωЀ-џḀ-ỿ‐-‧‰-⁞₠-₿、-〩ぁ-ゖァ-ヺ一-龥가-힣]*").fullmatch
 
 
 def byte_chars() -> list[str]:
@@ -64,7 +71,13 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without added tokens, as plain text."""
         if text.isascii():
-            return _words_ascii(text.translate(_white).lower())
+            return _words_ascii(text.lower())
+        if is_normalized("NFC", text):
+            low = text.lower()
+            if _latin(low):
+                return _words_latin(low)
+            if "Σ" not in text and _settled(low):  # lower() looks at the context of this letter alone
+                return _words(low)
         normal = self.library.normalizer.normalize_str(text)
         if _settled(normal):
             return _words(normal)
@@ -94,16 +107,23 @@ def default_path() -> str:
 
 
 class Memo(dict):
-    """A bounded memo: emptied when full, so that a shifting vocabulary cannot grow it without end."""
+    """A bounded memo of two generations: when the newer is full it becomes the older, which is then dropped.
+
+    Keys that are in use move to the newer one, so a vocabulary larger than the limit does not push out its
+    frequent part. At most twice ``limit`` keys of up to 64 symbols are held.
+    """
 
     def __init__(self, compute, limit: int):
         super().__init__()
-        self._compute, self._limit = compute, limit
+        self._compute, self._limit, self._old = compute, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self._limit:
-            self.clear()
-        value = self._compute(key)
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
         if len(key) <= 64:
+            if len(self) >= self._limit:
+                self._old = dict(self)
+                self.clear()
             self[key] = value
         return value
