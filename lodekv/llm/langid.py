@@ -84,7 +84,7 @@ def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     p = points.astype(np.uint64) + np.uint64(1)
     for n in range(order):
         shifted = np.zeros_like(p)
-        shifted[n:] = p[: len(p) - n] if n else p
+        shifted[n:] = p[: max(0, len(p) - n)]
         h = (h ^ (shifted + np.uint64(n << 32))) * _M1
         h ^= h >> np.uint64(31)
         h = h * _M2

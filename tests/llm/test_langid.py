@@ -28,6 +28,14 @@ def test_accuracy(models):
             assert lang == k and 0.5 < score <= 1 and accepted
 
 
+def test_texts_shorter_than_the_order(models):
+    of = langid.Identifier(models)
+    for t in ("a", "É", "in", "of x", " q ", "1a2"):
+        lang, score, entropy, _ = of(t)
+        assert lang in WORDS and 0 < score <= 1 and entropy > 0
+        assert all(len(h) == len(langid.symbols(t)) for h in langid.gram_hashes(langid.symbols(t), langid.ORDER))
+
+
 def test_rejects_what_is_no_language(models):
     rng, of = random.Random(3), langid.Identifier(models)
     for _ in range(20):
