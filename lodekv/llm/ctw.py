@@ -8,10 +8,12 @@ plus half the product of its children's. The prediction mixes the estimates at a
 posterior weights that follow from the training counts. Nodes that no training text has reached stand aside.
 
 Training counts cover the whole corpus: workers count (DEPTH + 1)-byte grams and words of their texts, Spark sums
-them by key. The nodes are then kept in tables of fixed size, addressed by hash (``SLOTS`` per depth); nodes that
-share a slot share counts, and each binary decision still sums to one. That bound holds for any corpus, so the
-tables are broadcast. The base score is a unigram model over words: the most frequent words (at most
-``FREQUENT``, by count) are broadcast with their counts, all others are joined by shuffle.
+them by key. Nodes are exact, each under its own (depth, context, leading bits). The grams are dealt into parts by the
+last ``DEEP`` context bytes, so that a part has the whole subtrees of its contexts; their number grows with the
+corpus. Above them are nodes of fewer context bytes, which number less than 2 ** (8 * DEEP) at any scale; they are
+broadcast. Blocks of texts ask every part for the values of their distinct grams and sum the answers, so that no
+worker holds more than one part and one block. The base score is a unigram model over words: the most frequent
+words (at most ``FREQUENT``, by count) are broadcast with their counts, all others are joined by shuffle.
 
 Defined results: a null text is empty and has the end token alone; rows that repeat stay; without any training
 text all counts are 0 and each byte costs eight bits; rows with a null id belong to fold ``crc32('')``.
@@ -19,32 +21,35 @@ text all counts are 0 and each byte costs eight bits; rows with a null id belong
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import materialize, workers_can_import
 from .columns import utf8
 
 DEPTH = 5
-SLOTS = [1 << 8, 1 << 16, 1 << 19, 1 << 20, 1 << 21, 1 << 22]
+#: Contexts of so many bytes or more are dealt into parts.
+DEEP = 3
+#: Distinct training grams of a part; bytes of all texts for each part.
+PART_GRAMS, PART_BYTES = 400_000, 32 << 20
 FREQUENT = 300_000
 #: Bytes that are coded at once; distinct grams and words that a worker counts before it passes them on.
 SLAB, GRAMS, WORDS = 2 << 20, 3_000_000, 300_000
+#: Bytes of the texts that ask for values together, and slots for finding grams that repeat within a slab.
+BLOCK, REPEATS = 8 << 20, 1 << 21
 REMEMBERED = 1 << 21
 END = b"\n"
 
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_S31, _S29 = np.uint64(31), np.uint64(29)
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -121,7 +126,7 @@ def count_corpus(texts: DataFrame, text_col: str = "text") -> DataFrame:
             words[END] += len(streams)
             for _, some, head in slabs(streams):
                 gram, _ = grams_of(some)
-                keys, counts = np.unique(gram[head:], return_counts=True)
+                keys, counts = count_grams(gram[head:])
                 parts.append((keys, counts))
                 held += len(keys)
                 if held > GRAMS:
@@ -142,17 +147,9 @@ def count_corpus(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return source.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def node_slots(gram: np.ndarray, depth: int, prefix: np.ndarray) -> np.ndarray:
-    """The slot of the node with the last ``depth`` context bytes and the leading bits ``prefix`` (with a 1 before)."""
-    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-    if depth < 2:
-        return ((context << np.uint64(8)) | prefix).astype(np.int64)
-    h = (context + np.uint64(depth)) * _A
-    h ^= h >> _S31
-    h = (h + prefix) * _B
-    h ^= h >> _S29
-    h *= _A
-    return (h >> np.uint64(64 - SLOTS[depth].bit_length() + 1)).astype(np.int64)
+def node_keys(gram: np.ndarray, depth: int, prefix: np.ndarray) -> np.ndarray:
+    """The key of the node with the last ``depth`` context bytes and the leading bits ``prefix`` (with a 1 before)."""
+    return (gram & np.uint64((1 << 8 * depth + 8) - 256)) | prefix
 
 
 def bits_of(gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -163,29 +160,18 @@ def bits_of(gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class NodeCounts:
-    """Zeros and ones of all nodes, and each node's parent, in fixed arrays."""
+    """Distinct grams, which are the deepest nodes with the next byte, and their counts."""
 
     def __init__(self):
-        self.counts = [np.zeros((s, 2), np.int64) for s in SLOTS]
-        self.parents = [np.full(s, np.iinfo(np.int32).max, np.int32) for s in SLOTS]
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, gram: np.ndarray, n: np.ndarray) -> None:
-        for prefix, bit in bits_of(gram):
-            above = None
-            for depth in range(DEPTH + 1):
-                slot = node_slots(gram, depth, prefix)
-                np.add.at(self.counts[depth].reshape(-1), slot * 2 + bit, n)
-                if depth:
-                    np.minimum.at(self.parents[depth], slot, above)
-                above = slot.astype(np.int32)
-
-    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(depth and slot as one number, zeros, ones, parent slot) of the nodes that have counts."""
-        for depth in range(DEPTH + 1):
-            slot = np.flatnonzero(self.counts[depth].any(axis=1))
-            for k in range(0, len(slot), 200_000):
-                some = slot[k : k + 200_000]
-                yield some + (depth << 32), self.counts[depth][some, 0], self.counts[depth][some, 1], self.parents[depth][some]
+        self.parts.append((gram, n))
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(grams in order, counts)."""
+        if self.parts:
+            yield merge_counts(self.parts)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -199,93 +185,194 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
-class NodeTable:
-    """Counts and parents of all nodes on the driver, in arrays of fixed size."""
+class NodeTable(NodeCounts):
+    """The grams of all texts, or of one part."""
 
-    def __init__(self):
-        self.zeros = [np.zeros(s) for s in SLOTS]
-        self.ones = [np.zeros(s) for s in SLOTS]
-        self.parents = [np.zeros(s, np.int32) for s in SLOTS]
+    def put(self, gram: np.ndarray, n: np.ndarray) -> None:
+        self.add(gram, n)
+
+    def leaves(self, bits: list[int]) -> "Nodes":
+        """The nodes of ``DEPTH`` context bytes for the decisions after so many leading bits."""
+        for gram, n in self.rows():
+            decisions = list(bits_of(gram))
+            keys = np.concatenate([node_keys(gram, DEPTH, decisions[k][0]) for k in bits])
+            ones = np.concatenate([n * decisions[k][1] for k in bits])
+            return summed(keys, np.tile(n, len(bits)) - ones, ones, np.zeros(len(keys)))
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0)
 
-    def put(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, parent: np.ndarray) -> None:
-        for depth in np.unique(node >> 32).tolist():
-            mine = node >> 32 == depth
-            slot = node[mine] & 0xFFFFFFFF
-            self.zeros[depth][slot], self.ones[depth][slot], self.parents[depth][slot] = n0[mine], n1[mine], parent[mine]
+
+#: Keys in order, zeros, ones, and the sum of the children's weighted log-probabilities.
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: By depth: keys in order, the KT probability of a one, and the weight of the node's own estimate.
+Levels = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> Nodes:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order].astype(np.float64), first) if len(first) else np.zeros(0) for v in values)
+
+
+def climb(nodes: Nodes, depth: int, least: int) -> tuple[Levels, Nodes]:
+    """The levels from ``depth`` up to ``least``, and the nodes of the level above."""
+    levels = {}
+    for d in range(depth, least - 1, -1):
+        keys, a, b, below = nodes
+        own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+        if d == DEPTH:
+            weight, weighted = np.ones(len(keys)), own
+        else:
+            weight = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+            weighted = np.logaddexp(own, below) - np.log(2)
+        levels[d] = keys, (b + 0.5) / (a + b + 1), weight
+        if d:
+            nodes = summed(node_keys(keys, d - 1, keys & np.uint64(255)), a, b, weighted)
+    return levels, nodes
+
+
+def mix(levels: Levels, gram: np.ndarray, prefix: np.ndarray, p: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of a one, whether a node was found) after the levels, deepest first, from that of the levels below."""
+    for depth in sorted(levels, reverse=True):
+        keys, ones, weight = levels[depth]
+        if not len(keys):
+            continue
+        wanted = node_keys(gram, depth, prefix)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        seen = keys[at] == wanted
+        p = np.where(seen, np.where(has, weight[at] * ones[at] + (1 - weight[at]) * p, ones[at]), p)
+        has = has | seen
+    return p, has
 
 
 class ContextTrees:
-    """For each slot the KT probability of a one and the weight of the node's own estimate (-1: no counts)."""
+    """The trees of a table of grams as a whole."""
 
     def __init__(self, nodes: NodeTable):
-        """Consumes ``nodes``: each depth's counts are freed once they are used."""
-        self.ones = [np.full(s, 0.5, np.float32) for s in SLOTS]
-        self.weight = [np.full(s, -1.0, np.float32) for s in SLOTS]
-        below = None  # sum of the children's weighted log-probabilities, by slot
-        for depth in range(DEPTH, -1, -1):
-            above = np.zeros(SLOTS[depth - 1]) if depth else None
-            for at in range(0, SLOTS[depth], 1 << 18):
-                part = slice(at, at + (1 << 18))
-                slot = at + np.flatnonzero(nodes.zeros[depth][part] + nodes.ones[depth][part])
-                a, b = nodes.zeros[depth][slot], nodes.ones[depth][slot]
-                own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
-                self.ones[depth][slot] = (b + 0.5) / (a + b + 1)
-                if below is None:
-                    self.weight[depth][slot], weighted = 1.0, own
-                else:
-                    children = below[slot]
-                    self.weight[depth][slot] = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
-                    weighted = np.logaddexp(own, children) - np.log(2)
-                if depth:
-                    np.add.at(above, nodes.parents[depth][slot], weighted)
-            nodes.zeros[depth] = nodes.ones[depth] = nodes.parents[depth] = None
-            below = above
+        self.levels, _ = climb(nodes.leaves(list(range(8))), DEPTH, 0)
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """Log10 of the probability of each gram's last byte after the bytes before it."""
         total = np.zeros(len(gram))
         for prefix, bit in bits_of(gram):
-            p, has = np.full(len(gram), 0.5), np.zeros(len(gram), np.bool_)
-            for depth in range(DEPTH, -1, -1):
-                slot = node_slots(gram, depth, prefix)
-                ones, weight = self.ones[depth][slot].astype(np.float64), self.weight[depth][slot].astype(np.float64)
-                seen = weight >= 0
-                p = np.where(seen, np.where(has, weight * ones + (1 - weight) * p, ones), p)
-                has |= seen
+            p, _ = mix(self.levels, gram, prefix, np.full(len(gram), 0.5), np.zeros(len(gram), np.bool_))
             total += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
 
-def fit(counts: DataFrame) -> ContextTrees:
-    """The trees of a table of gram counts (columns ``gram``, ``n``)."""
+def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram, by its last ``DEEP`` context bytes; the same as :func:`part_column`."""
+    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * DEEP) - 1)
+    return ((context * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
+
+
+def part_column(parts: int) -> Column:
+    return F.expr(f"cast((shiftrightunsigned((shiftrightunsigned(gram, 8) & {(1 << 8 * DEEP) - 1}) * 2654435761L, 16)) % {parts} as int)")
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if batch.num_rows:
-                held = held or NodeCounts()
-                held.add(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
-        if held is not None:
-            for columns in held.rows():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n0", "n1", "parent"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(batch.column(i).to_numpy().astype(t).tobytes() for i, t in enumerate(("<i8", "<i8", "<i8", "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([zlib.compress(raw, 1)], pa.binary())], names=["rows", "packed"])
 
-    # grams of one deep context stay together, so that a deep node is counted in one place only
-    dealt = counts.where("gram IS NOT NULL").select("gram", "n").repartition(F.expr("shiftrightunsigned(gram, 8) & 4294967295"))
-    summed = dealt.mapInArrow(nodes, "node long, n0 long, n1 long, parent int").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("parent").alias("parent"))
+def _table(rows: pa.Table) -> NodeTable:
     table = NodeTable()
-    for row in summed.mapInArrow(pack, "rows long, packed binary").toLocalIterator():  # at most sum(SLOTS) nodes, 28 bytes each
-        raw, n = zlib.decompress(row.packed), row.rows
-        table.put(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", n, 16 * n), np.frombuffer(raw, "<i4", n, 24 * n))
-    return ContextTrees(table)
+    table.put(rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+    return table
+
+
+def fit_top(grams: DataFrame) -> Levels:
+    """The levels of less than ``DEEP`` context bytes, of a table of gram counts (columns ``part``, ``gram``, ``n``)."""
+
+    def subtrees(rows: pa.Table) -> pa.Table:
+        table = _table(rows)
+        tops = [climb(table.leaves([k]), DEPTH, DEEP)[1] for k in range(8)]
+        columns = [np.concatenate(x) for x in zip(*tops, strict=True)]
+        return pa.table([columns[0].view(np.int64), *columns[1:]], names=["node", "n0", "n1", "below"])
+
+    parts = grams.groupBy("part").applyInArrow(subtrees, "node long, n0 double, n1 double, below double")
+    nodes = parts.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toArrow()  # less than 2 ** (8 * DEEP) rows
+    keys = nodes.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return climb((keys[order], *(nodes.column(c).to_numpy()[order] for c in ("n0", "n1", "below"))), DEEP - 1, 0)[0]
+
+
+def repeats(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position that stands for each gram, whether it has the same gram); without sorting, where no slot is shared."""
+    slot = ((gram * _A) >> np.uint64(64 - REPEATS.bit_length() + 1)).astype(np.int64)
+    table = np.zeros(REPEATS, np.int32)
+    table[slot] = np.arange(len(gram), dtype=np.int32)
+    stands = table[slot]
+    return stands, gram[stands] == gram
+
+
+def count_grams(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``np.unique(gram, return_counts=True)``."""
+    stands, same = repeats(gram)
+    n = np.bincount(stands[same], minlength=len(gram))
+    first = np.flatnonzero(n)
+    rest, more = np.unique(gram[~same], return_counts=True)
+    keys = np.concatenate([gram[first], rest])
+    order = np.argsort(keys)
+    return keys[order], np.concatenate([n[first], more])[order]
+
+
+def distinct_grams(streams: list[bytes]) -> np.ndarray:
+    held = NodeCounts()
+    for _, some, head in slabs(streams):
+        held.add(*count_grams(grams_of(some)[0][head:]))
+        if len(held.parts) > 8:
+            held.parts = list(held.rows())
+    return next(held.rows())[0]
+
+
+def pack_grams(gram: np.ndarray) -> bytes:
+    """Byte planes, which a shuffle's compression shrinks; the two leading bytes are 0."""
+    return gram.view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T.tobytes()
+
+
+def unpack_grams(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(DEPTH + 1, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : DEPTH + 1] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def looked_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of grams that are all among ``keys``."""
+    stands, same = repeats(gram)
+    held = np.zeros(len(gram))
+    first = np.flatnonzero(np.bincount(stands[same], minlength=len(gram)))
+    held[first] = values[np.searchsorted(keys, gram[first])]
+    out = held[stands]
+    out[~same] = values[np.searchsorted(keys, gram[~same])]
+    return out
+
+
+def score_streams(streams: list[bytes], log10) -> np.ndarray:
+    out = np.zeros(len(streams))
+    for owners, some, head in slabs(streams):
+        gram, owner = grams_of(some)
+        out[owners] += np.bincount(owner[head:], log10(gram[head:]), len(some))
+    return out
+
+
+def answers(grams: DataFrame, asked: DataFrame, top: Levels) -> DataFrame:
+    """``block``, ``part``, ``packed``: the log10 values of the grams that a block asks a part for, in their order."""
+    sent = grams.sparkSession.sparkContext.broadcast(top)
+
+    def answer(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        table, lists = _table(rows), [unpack_grams(x.as_py()) for x in asks.column("packed")]
+        wanted = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
+        total = np.zeros(len(wanted))
+        for k, (prefix, bit) in enumerate(bits_of(wanted)):
+            p, has = mix(climb(table.leaves([k]), DEPTH, DEEP)[0], wanted, prefix, np.full(len(wanted), 0.5), np.zeros(len(wanted), np.bool_))
+            p, _ = mix(sent.value, wanted, prefix, p, has)
+            total += np.log10(np.where(bit == 1, p, 1 - p))
+        values = total.astype(np.float32)
+        packed = [values[np.searchsorted(wanted, x)].tobytes() for x in lists]
+        return pa.table([asks.column("block"), asks.column("part"), pa.array(packed, pa.binary())], names=["block", "part", "packed"])
+
+    return grams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "block long, part int, packed binary")
 
 
 class Scorer:
-    """Log10 probabilities of texts, with a fixed-size memory of grams; the base score of the frequent words."""
+    """Log10 probabilities of texts by trees that are held as a whole, with a fixed-size memory of grams."""
 
     def __init__(self, trees: ContextTrees, frequent: dict[bytes, float]):
         self.trees, self.frequent = trees, frequent
@@ -310,29 +397,7 @@ class Scorer:
         return self.values[slot]
 
     def score(self, streams: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(streams))
-        for owners, some, head in slabs(streams):
-            gram, owner = grams_of(some)
-            out[owners] += np.bincount(owner[head:], self.log10(gram[head:]), len(some))
-        return out
-
-
-@lru_cache(maxsize=1)
-def _scorer(held: "_Held") -> Scorer:
-    return Scorer(*held.value)
-
-
-class _Held:
-    """A broadcast's value, compared by name so that a worker builds its scorer once."""
-
-    def __init__(self, name: str, value):
-        self.name, self.value = name, value
-
-    def __eq__(self, other):
-        return isinstance(other, _Held) and other.name == self.name
-
-    def __hash__(self):
-        return hash(self.name)
+        return score_streams(streams, self.log10)
 
 
 def _frequent(words: DataFrame, most: int) -> int:
@@ -365,45 +430,91 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         known = words.where(F.col("n") >= least).toArrow()  # at most ``frequent`` rows
         common = dict(zip(known.column("word").to_pylist(), (np.log10(known.column("n").to_numpy() + 0.5) - norm).tolist(), strict=True))
     end_known = bool(total)
-    shipped, name = spark.sparkContext.broadcast((fit(counts), common)), uuid.uuid4().hex
+    distinct_trained = counts.where("gram IS NOT NULL").count()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("__t")), F.lit(0))).first()[0]
+    parts = 1 + max(distinct_trained // PART_GRAMS, size // PART_BYTES)
+    grams = counts.where("gram IS NOT NULL").select(part_column(parts).alias("part"), "gram", "n")
+    shipped = spark.sparkContext.broadcast(common)
     end_score = common.get(END)
     if end_score is None:
         end_n = words.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         end_score = float(np.log10(end_n + 0.5)) - norm
     id_type = rows.schema["__id"].dataType
-    schema = T.StructType([
-        T.StructField("__id", id_type), T.StructField("__train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_common", T.LongType()),
-        T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.MapType(T.BinaryType(), T.LongType())),
-    ])
+    kept = [
+        T.StructField("__id", id_type), T.StructField("__train", T.BooleanType()), T.StructField("uid", T.LongType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("n_common", T.LongType()), T.StructField("base", T.DoubleType()),
+    ]
+    schema = T.StructType([*kept, T.StructField("stream", T.BinaryType()), T.StructField("rare", T.MapType(T.BinaryType(), T.LongType())), T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _scorer(_Held(name, shipped.value))
-        get = of.frequent.get
+        get = shipped.value.get
+        uid = block = TaskContext.get().partitionId() << 40
+        waiting: list[bytes] = []
+        held = 0
+
+        def ask() -> pa.RecordBatch:
+            gram = distinct_grams(waiting)
+            part = part_of(gram, parts)
+            found = np.unique(part)
+            lists = pa.array([pack_grams(gram[part == x]) for x in found], pa.binary())
+            columns = {"block": pa.array([block] * len(found), pa.int64()), "part": pa.array(found, pa.int32()), "packed": lists}
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(found), f.type) for f in arrow], schema=arrow)
+
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw, marks = data.tobytes(), offsets.tolist()
-            streams, n, n_common, base, rare = [], [], [], [], []
-            for a, b in zip(marks, marks[1:], strict=False):
-                mine = words_of(raw[a:b])
-                found = list(map(get, mine))
-                known = [x for x in found if x is not None]
-                streams.append(b" ".join(mine) + END)
-                n.append(len(mine) + 1)
-                n_common.append(len(known) + end_known)
-                base.append(sum(known) + end_score)
-                rare.append(list(Counter([w for w, x in zip(mine, found, strict=True) if x is None]).items()) if len(known) < len(mine) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(n_common, pa.int64()), pa.array(base, pa.float64()), pa.array(of.score(streams), pa.float64()), pa.array(rare, pa.map_(pa.binary(), pa.int64()))],
-                names=schema.names,
-            )
-
-    scored = rows.select("__id", "__t", "__train").mapInArrow(run, schema)
-    scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
-    seldom = scored.select("uid", F.explode("rare").alias("word", "k"))
+            at = 0
+            while at < batch.num_rows:
+                first, streams, n, n_common, base, rare = at, [], [], [], [], []
+                while at < batch.num_rows and held < BLOCK:
+                    mine = words_of(raw[marks[at] : marks[at + 1]])
+                    found = list(map(get, mine))
+                    known = [x for x in found if x is not None]
+                    streams.append(b" ".join(mine) + END)
+                    held += len(streams[-1])
+                    n.append(len(mine) + 1)
+                    n_common.append(len(known) + end_known)
+                    base.append(sum(known) + end_score)
+                    rare.append(list(Counter([w for w, x in zip(mine, found, strict=True) if x is None]).items()) if len(known) < len(mine) else [])
+                    at += 1
+                size = at - first
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:at], batch.column(2)[first:at], pa.array(range(uid, uid + size), pa.int64()), pa.array(n, pa.int64()), pa.array(n_common, pa.int64()), pa.array(base, pa.float64()),
+                     pa.array(streams, pa.binary()), pa.array(rare, pa.map_(pa.binary(), pa.int64())), pa.array([block] * size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                    names=schema.names,
+                )
+                uid += size
+                waiting += streams
+                if held >= BLOCK:
+                    yield ask()
+                    block += 1
+                    waiting, held = [], 0
+        if waiting:
+            yield ask()
+
+    coded = materialize(rows.select("__id", "__t", "__train").mapInArrow(run, schema), "coded")
+    texts = coded.where("uid IS NOT NULL")
+    asked = coded.where("uid IS NULL").select("block", "part", "packed")
+
+    def finish(mine: pa.Table, values: pa.Table) -> pa.Table:
+        mine = mine.combine_chunks()
+        streams = mine.column("stream").to_pylist()
+        gram = distinct_grams(streams)
+        part, value = part_of(gram, parts), np.zeros(len(gram))
+        for x, packed in zip(values.column("part").to_pylist(), values.column("packed").to_pylist(), strict=True):
+            value[part == x] = np.frombuffer(packed, np.float32)
+        score = score_streams(streams, lambda g: looked_up(g, gram, value))
+        return mine.select([f.name for f in kept]).append_column("score", pa.array(score, pa.float64()))
+
+    told = answers(grams, asked, fit_top(grams))
+    columns = [f.name for f in kept]
+    scored = texts.select(*columns, "stream", "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    seldom = texts.select("uid", F.explode("rare").alias("word", "k"))
     joined = seldom.join(words.where(F.col("n") < least), "word", "left") if least else seldom.withColumn("n", F.lit(None).cast("long"))
     count = F.coalesce("n", F.lit(0))
     rest = joined.groupBy("uid").agg(F.sum(F.col("k") * (F.log10(count + 0.5) - norm)).alias("more"), F.sum(F.when(count > 0, F.col("k")).otherwise(0)).alias("known"))
-    out = scored.drop("rare").join(rest, "uid", "left")
+    out = scored.join(rest, "uid", "left")
     return out.select(
         F.col("__id").alias(id_col), (~F.col("__train")).alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",

@@ -1,5 +1,6 @@
 """Context-tree weighting against a plain recursion; base score against plain counts; edge cases."""
 
+import functools
 import math
 import random
 import zlib
@@ -131,3 +132,30 @@ def test_nothing_to_learn_from(spark):
     assert (row.n_tokens, row.n_known, row.train_tokens) == (2, 0, 0)
     assert row.score == pytest.approx(3 * 8 * math.log10(0.5)) and row.base_score == pytest.approx(0.0)
     assert ctw.score_texts(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_nodes_that_shared_a_slot_stay_apart(spark, monkeypatch):
+    """Random bytes reach more deep contexts than any table of fixed size holds apart; parts must not matter either."""
+    monkeypatch.setattr(ctw, "PART_GRAMS", 500)
+    monkeypatch.setattr(ctw, "SLAB", 700)
+    monkeypatch.setattr(ctw, "BLOCK", 900)
+    monkeypatch.setattr(ctw, "REPEATS", 64)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(400)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in ctw.score_texts(df, F.col("doc_id") < 9).collect()}
+    streams = [(" ".join(t.split()) + "\n").encode() for t in texts]
+    plain = Plain(streams[:9])
+    plain.weighted = functools.cache(plain.weighted)
+    for i in (0, 4, 9, 11):
+        assert got[i] == pytest.approx(plain.log10(streams[i]), rel=1e-6)
+
+
+def test_large_corpus_keeps_every_node():
+    """More distinct nodes than the 4,194,304 slots that all depth-5 nodes once shared."""
+    gram = np.unique(np.random.default_rng(7).integers(0, 1 << 48, 700_000, dtype=np.uint64))
+    table = ctw.NodeTable()
+    table.put(gram, np.ones(len(gram), np.int64))
+    keys = table.leaves(list(range(8)))[0]
+    want = np.unique(np.concatenate([(gram >> np.uint64(8) << np.uint64(8)) | prefix for prefix, _ in ctw.bits_of(gram)]))
+    assert len(want) > 1 << 22 and np.array_equal(keys, want)
