@@ -5,7 +5,11 @@ Elements that are boilerplate by their name or role (menus, forms, scripts, adve
 left out. Every other node gets its composite text density, characters per tag, lowered by the share of link
 characters and link tags; its density sum is that of its children. The node with the largest sum is the core; the
 least density on the path from it up to the body is the threshold, and below each node that reaches the
-threshold the subtree with the largest sum is content.
+threshold the subtree with the largest sum is content. So is the outermost article or main around the core with
+the articles beside it, whatever the density of their parts. Without one, all of the body is, but for the blocks
+beside the core or its ancestors that are mostly links.
+
+A class or id does not make boilerplate of what holds the page's article or main, or all but a tenth of its text.
 
 The text is that of the content in page order: character references decoded, white space inside a block
 turned into one space, blocks joined by one line feed.
@@ -55,10 +59,10 @@ _raw_end = {name: re.compile(f"</{name}(?=[\\s/>])|</{name}\\Z", re.I) for name
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "boiler", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "items", "boiler", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, boiler: bool):
-        self.name, self.parent, self.boiler = name, parent, boiler
+        self.name, self.parent, self.boiler, self.marked = name, parent, boiler, False
         self.items: list[Node | str] = []
 
 
@@ -73,11 +77,16 @@ def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and not MARKS.isdisjoint(p.lower() for p in _part.findall(value)):
-            return True
     return False
 
 
+def _is_marked(name: str, attributes: str) -> bool:
+    """Whether a word of its class or id marks the element as boilerplate."""
+    if not attributes or name in ("html", "body", "main", "article"):
+        return False
+    return any(key.lower() in ("class", "id") and not MARKS.isdisjoint(p.lower() for p in _part.findall(a or b or c)) for key, a, b, c in _attribute.findall(attributes))
+
+
 def parse(html: str) -> Node:
     """The tree of a page; the root stands for the body. Start and end tags of html and body are ignored."""
     root = Node("body", None, False)
@@ -124,6 +133,7 @@ def parse(html: str) -> Node:
                     y = y.parent
                 open_ = last.parent
         node = Node(name, open_, _is_boilerplate(name, attributes, articles > 0))
+        node.marked = not node.boiler and _is_marked(name, attributes)
         open_.items.append(node)
         if name in RAW:
             end = _raw_end[name].search(html, at)
@@ -134,9 +144,34 @@ def parse(html: str) -> Node:
         elif name not in VOID and not (attributes.endswith("/") and name not in BLOCKS):
             open_ = node
             articles += name in ("article", "main")
+    settle_marks(root)
     return root
 
 
+def settle_marks(root: Node) -> None:
+    """Makes boilerplate of the marked elements that hold neither the article nor nearly all of the text."""
+    order, stack = [], [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        order.append((node, depth + node.marked))
+        node.chars = sum(len(" ".join(unescape(x).split())) for x in node.items if type(x) is str)
+        stack.extend((x, depth + node.marked) for x in reversed(node.items) if type(x) is not str and not x.boiler)
+    if not any(node.marked for node, _ in order):
+        return
+    for node, _ in reversed(order):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+    articles = [(depth, -node.chars, k) for k, (node, depth) in enumerate(order) if node.name in ("article", "main") and node.chars]
+    holders = set()
+    if articles:
+        x = order[min(articles)[2]][0]
+        while x is not None:
+            holders.add(id(x))
+            x = x.parent
+    for node, _ in order:
+        node.boiler = node.boiler or (node.marked and id(node) not in holders and (bool(articles) or node.chars * 10 <= root.chars * 9))
+
+
 def measure(root: Node) -> list[Node]:
     """Densities of all nodes that are not boilerplate, in page order."""
     order, stack = [], [(root, False)]
@@ -196,7 +231,7 @@ def content(root: Node) -> list[Node]:
         up = node.parent
         if up is not None and ((other := best.get(id(up))) is None or mine.total >= other.total):
             best[id(up)] = mine
-    marked = {id(best[id(node)]) for node in order if node.density >= threshold and node.chars}
+    marked = {id(best[id(node)]) for node in order if node.density >= threshold and node.chars} | {id(x) for x in _whole(core)}
     out, covered = [], set()
     for node in order:
         if node.parent is not None and id(node.parent) in covered:
@@ -207,6 +242,27 @@ def content(root: Node) -> list[Node]:
     return out
 
 
+def _mostly_links(node: Node) -> bool:
+    return node.link_tags + (node.name == "a") > 1 and node.link_chars * 2 > node.chars
+
+
+def _whole(core: Node) -> list[Node]:
+    """The article or main around the core and the articles beside it, else the body without blocks of links."""
+    path, x = [], core
+    while x is not None:
+        path.append(x)
+        x = x.parent
+    around = [x for x in path if x.name in ("article", "main")]
+    if around:
+        return [around[-1], *(x for x in around[-1].parent.items if type(x) is not str and x.name == "article" and not x.boiler and not _mostly_links(x))]
+    held = set(map(id, path))
+    for node in path[1:]:
+        for x in node.items:
+            if type(x) is not str and id(x) not in held and not x.boiler and x.name in BLOCKS and _mostly_links(x):
+                x.boiler = True
+    return [path[-1]]
+
+
 def text_of(nodes: list[Node]) -> str:
     """The blocks of the nodes, boilerplate left out."""
     blocks: list[str] = []

@@ -50,3 +50,24 @@ def test_columns(spark):
     assert out.columns == ["page_id", "html", "text", "n_chars"]
     assert sorted(map(tuple, out.select("page_id", "text", "n_chars").collect())) == [(1, "hi", 2), (1, "hi", 2), (2, "", 0)]
     assert extract(df.limit(0)).collect() == []
+
+
+PARAGRAPH = "This paragraph has about a hundred characters of plain text, as the paragraphs of an article often do."
+TWENTY = f"<div>{f'<p>{PARAGRAPH}</p>' * 20}</div>"
+BODY = "\n".join([PARAGRAPH] * 20)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (page(f"<article><header><h1>A title of the page</h1></header>{TWENTY}</article>"), f"A title of the page\n{BODY}"),
+        (page(f"{MENU}<main><section><h2>One</h2><p>Short.</p></section><section><h2>Two</h2>{TWENTY}</section></main>"), f"One\nShort.\nTwo\n{BODY}"),
+        (page(f"<div><div><h1>Title</h1></div>{TWENTY}<div><p>Short end.</p></div></div><div><a href=a>more news</a> <a href=b>archive</a></div>"), f"Title\n{BODY}\nShort end."),
+        (page(f"<article><p>First post.</p></article><article>{TWENTY}</article>"), f"First post.\n{BODY}"),
+        (page(f"<div class='content has-sidebar'><article><p>{LONG}</p></article><div class=sidebar><p>side</p></div></div>"), LONG.strip()),
+        (page(f"<div class='content has-sidebar'><article><p>{LONG}</p></article><div class=comments><article><p>{LONG * 3}</p></article></div></div>"), LONG.strip()),
+        (page(f"<div class='page no-sidebar'><div><p>{LONG}</p></div></div>"), LONG.strip()),
+    ],
+)
+def test_nested_pages(html, want):
+    assert main_text(html) == want
