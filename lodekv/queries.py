@@ -65,6 +65,19 @@ def _bloom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.check(keys, bloom.build(keys.where("cast(substring(key, 10) as int) < 100"), 100), 100)
 
 
+def _bloom_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys of the mixed keyspace against a filter of all customer keys, sized by their number."""
+    held = w.kv_customer(spark, sf_dir).select("key")
+    n = held.count()
+    return bloom.check(w.kv_mixed(spark, sf_dir).select("key"), bloom.build(held, n), n)
+
+
+def _bloom_fnv_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of all customer keys in a filter sized by their number."""
+    held = w.kv_customer(spark, sf_dir).select("key")
+    return held.select("key", F.array_join(bloom_positions(spark, "key", held.count()), ",").alias("positions"))
+
+
 QUERIES: dict[str, Query] = {
     # scans and state
     "run_scan": lambda s, d: w.runs(s, d).where("run_id = 1").select("run_id", "key", "value"),
@@ -126,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "bloom_fnv": lambda s, d: w.kv_customer(s, d).select("key", F.array_join(bloom_positions(s, "key", 100), ",").alias("positions")),
 }
 QUERIES["bloom_check"] = _bloom_check
+QUERIES |= {"bloom_check_all": _bloom_check_all, "bloom_fnv_all": _bloom_fnv_all}
 
 _CUSTOMER = "SELECT 'customer:' || c_custkey AS key, c_name AS value FROM customer"
 _MIXED = f"{_CUSTOMER} UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'part:' || p_partkey, p_name FROM part"

@@ -3,7 +3,9 @@
 import pytest
 
 from lodekv import workload
+from lodekv.functions.hashing import bloom_shape, fnv1a
 from lodekv.operators import bloom, snapshot
+from lodekv.queries import QUERIES
 from lodekv.sources import runfile
 
 
@@ -44,3 +46,21 @@ def test_bloom_has_no_false_negative(spark, monkeypatch, most):
     judged = bloom.check(keys, bloom.build(inside, n), n)
     assert judged.join(inside, "key", "left_semi").where("NOT maybe").count() == 0
     assert judged.join(inside, "key", "left_anti").where("maybe").count() < 0.03 * 3000
+
+
+@pytest.mark.parametrize("most", [bloom.MAX_BITS, 1])
+def test_bloom_queries_cover_all_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(bloom, "MAX_BITS", most)
+    sf = "/root/testdata/sf0.001"
+    held = [r.key for r in workload.kv_customer(spark, sf).collect()]
+    bits, hashes = bloom_shape(len(held))
+
+    def places(key):
+        h = fnv1a(key.encode())
+        return [((h & 0xFFFFFFFF) + i * ((h >> 32) or 1) & 0xFFFFFFFF) % bits for i in range(hashes)]
+
+    field = {p for k in held for p in places(k)}
+    want = sorted((r.key, field.issuperset(places(r.key))) for r in workload.kv_mixed(spark, sf).collect())
+    assert len(held) > 100 and sum(maybe for _, maybe in want) >= len(held) and not all(maybe for _, maybe in want)
+    assert sorted(map(tuple, QUERIES["bloom_check_all"](spark, sf).collect())) == want
+    assert sorted(map(tuple, QUERIES["bloom_fnv_all"](spark, sf).collect())) == sorted((k, ",".join(map(str, places(k)))) for k in held)
