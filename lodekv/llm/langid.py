@@ -15,13 +15,16 @@ length. So mixed texts stay, and noise goes. ``score`` is the posterior of the l
 fitted on the same texts.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and is not accepted; ties go to
-the language that sorts first; without any labelled text everything is ``und``. Labels beyond the
-``MAX_LANGUAGES`` most frequent ones are not learned. The model depends only on the labelled texts.
+the language that sorts first; without any labelled text (or in an empty table) everything is ``und``; texts of any
+length are coded whole, and the size of the pieces changes nothing; rows that repeat stay, and copies of a text count once
+in the sample; columns of the input that have the name of a result are replaced. Labels beyond the ``MAX_LANGUAGES``
+most frequent ones are not learned, which bounds the model. The model depends only on the set of labelled texts.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -62,20 +65,25 @@ def has_letter(text: str) -> bool:
 
 def symbols(text: str) -> np.ndarray:
     """Code points of a text: lower case, runs of anything but letters as one space, a space at both ends."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(_letters()[points], points, _SPACE)
-    keep = np.ones(len(points), np.bool_)
-    keep[1:] = (points[1:] != _SPACE) | (points[:-1] != _SPACE)
-    points = points[keep]
-    if not len(points) or (len(points) == 1 and points[0] == _SPACE):
-        return points[:0]
-    parts = [points[:0]]
-    if points[0] != _SPACE:
-        parts.append(np.array([_SPACE]))
-    parts.append(points)
-    if points[-1] != _SPACE:
-        parts.append(np.array([_SPACE]))
-    return np.concatenate(parts).astype(np.uint32)
+    return np.concatenate([np.zeros(0, np.uint32), *pieces(text, max(1, len(text)))])
+
+
+def pieces(text: str, size: int) -> Iterator[np.ndarray]:
+    """The symbols of a text, ``size`` characters at a time; none if it has no letters."""
+    text = text.lower()
+    open_, begun = _SPACE, False  # the last symbol so far; has there been a letter?
+    for at in range(0, len(text), size):
+        points = np.frombuffer(text[at : at + size].encode("utf-32-le", "replace"), np.uint32)
+        points = np.where(_letters()[points], points, _SPACE)
+        before = np.concatenate([[open_], points[:-1]])
+        points = points[(points != _SPACE) | (before != _SPACE)].astype(np.uint32)
+        if not len(points):
+            continue
+        open_ = points[-1]
+        yield points if begun else np.concatenate([[_SPACE], points]).astype(np.uint32)
+        begun = True
+    if begun and open_ != _SPACE:
+        yield np.array([_SPACE], np.uint32)
 
 
 def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
@@ -256,33 +264,17 @@ class Coder:
     def totals(self, text: str) -> tuple[np.ndarray, int]:
         """(nats of the whole text under each model, coded characters); long texts go in overlapping pieces."""
         total, n = np.zeros(max(1, len(self.models))), 0
-        points = _pieces(text)
         carry = np.zeros(0, np.uint32)
-        for part in points:
-            if len(carry) and len(part) and carry[-1] == _SPACE and part[0] == _SPACE:
-                part = part[1:]
+        for part in pieces(text, SLAB):
             whole = np.concatenate([carry, part])
             if len(whole) > 1:
-                losses = self.losses(whole)
-                fresh = losses[max(0, len(carry) - 1) :]
+                fresh = self.losses(whole)[max(0, len(carry) - 1) :]
                 total += fresh.sum(0, dtype=np.float64)
                 n += len(fresh)
             carry = whole[-(ORDER - 1) :]
         return total, n
 
 
-def _pieces(text: str):
-    """Symbols of a text in pieces that end at a space where they can."""
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + SLAB)
-        if end < len(text):
-            gap = text.rfind(" ", at, end)
-            end = gap if gap > at else end
-        yield symbols(text[at:end])
-        at = end
-
-
 class Identifier:
     """(language, score, cross-entropy, accepted) of texts."""
 
@@ -304,26 +296,27 @@ class Identifier:
 def sample(labelled: DataFrame, lang_col: str, text_col: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, total: int = TOTAL_CHARS) -> dict[str, list[str]]:
     """A bounded sample of texts of each language: rows are chosen by the hash of their text."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    h = F.xxhash64("text", F.lit(17))
+    texts_ = F.approx_count_distinct(h).alias("texts")  # copies of a text count once
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), texts_).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return {}
     docs = max(1, min(docs, total // chars // len(sizes)))
-    # a share of each language that gives about twice the wanted texts; the least hashes of them are kept
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * docs / r["count"] + 30.0 / r["count"]))])
-    h = F.xxhash64("text", F.lit(17))
+    # a share of each language's texts that gives about twice the wanted ones; the least hashes of them are kept
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (2.0 * docs + 30.0) / max(1, r["texts"])))])
     u = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
     length = F.length("text")
     start = F.when(length > chars, F.pmod(F.xxhash64("text", F.lit(18)), length - chars + 1)).otherwise(0).cast("int") + 1
     drawn = rows.withColumns({"__u": u, "__share": F.element_at(share, F.col("lang"))}).where("__share IS NOT NULL AND __u < __share")
-    drawn = drawn.select("lang", F.col("__u").alias("u"), F.substring(F.col("text"), start, F.lit(chars)).alias("text"))
+    drawn = drawn.select("lang", F.col("__u").alias("u"), F.substring(F.col("text"), start, F.lit(chars)).alias("text")).distinct()
     picked: dict[str, list[tuple[float, str]]] = {}
-    for r in drawn.toLocalIterator():  # about twice the sample; never more than the bound is held
+    for r in drawn.toLocalIterator():  # about twice the sample, all distinct; never more than the bound is held
         mine = picked.setdefault(r["lang"], [])
         mine.append((r["u"], r["text"]))
         if len(mine) >= 4 * docs:
             mine.sort()
             del mine[2 * docs :]
-    return {lang: [t for _, t in sorted(set(mine))[:docs]] for lang, mine in picked.items()}
+    return {lang: [t for _, t in sorted(mine)[:docs]] for lang, mine in picked.items()}
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModels:

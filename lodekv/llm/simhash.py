@@ -11,8 +11,9 @@
    to the shared folder, so that a lost executor costs one round at most.
 
 Defined results: a null text, or one without words, has fingerprint 0 and is linked like any other; rows with a
-null id have a fingerprint but take no part in linking (component null); rows that repeat an id are each
-linked by their own text; an empty table gives an empty result; texts of any length are read whole.
+null id are linked too, but never give their component its id (null where all ids of it are null); rows that repeat
+an id are each linked by their own text; an empty table gives an empty result; texts of any length are read whole;
+columns of the input may have any names, only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,8 +160,8 @@ def links(distinct: DataFrame, n: int, most: int = BITS, bucket: int = BUCKET) -
 def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Component label of every node that has an edge: ``v``, ``label`` (struct of ``rep`` and ``v``, the least of its component).
 
-    ``nodes``: ``v`` and its ``rep``. A round takes the least label of the neighbours, hooks it to the node
-    that the old label points at, and then jumps from each label to that node's label.
+    ``nodes``: ``v`` and its ``rep`` (of any type with an order, never null). A round takes the least label of the
+    neighbours, hooks it to the node that the old label points at, and then jumps from each label to that node's label.
     """
     both = materialize(edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "edges")
     touched = both.select(F.col("u").alias("v")).distinct()
@@ -191,28 +192,34 @@ def _without_old(labels: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BITS) -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` (the smallest id reachable over links of at most ``most`` bits)."""
-    rows = materialize(fingerprints(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")), "__t", ["__id"]), "fingerprints")
-    linked = rows.where(F.col("__id").isNotNull())
-    distinct = materialize(linked.groupBy("fp").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
-    n = distinct.count()
-    edges = links(distinct, n, most)
-    labels = connected(distinct.select(F.col("fp").alias("v"), "rep"), edges)
+def _classes(rows: DataFrame, first: Column, most: int) -> DataFrame:
+    """``fp``, ``n`` (rows that have it) and ``first`` (the least of the component's rows), one row per fingerprint of ``rows``."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
+    labels = connected(distinct.select(F.col("fp").alias("v"), "rep"), links(distinct, distinct.count(), most))
     found = distinct.join(labels.select(F.col("v").alias("fp"), F.col("label.rep").alias("__least")), "fp", "left")
-    found = materialize(found.select("fp", "n", F.coalesce("__least", "rep").alias("component_id")), "components")
-    total = linked.count()
-    out = join_unique(linked, found, "fp", "n", total).unionByName(rows.where(F.col("__id").isNull()).withColumn("component_id", F.lit(None).cast("long")))
+    out = materialize(found.select("fp", "n", F.coalesce("__least", "rep").alias("first")), "components")
     for old in (distinct, labels):
         discard(old)
-    return out.select(F.col("__id").alias(id_col), "fp", "component_id")
+    return out
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BITS) -> DataFrame:
+    """``id_col``, ``fp`` and ``component_id`` (the smallest id reachable over links of at most ``most`` bits)."""
+    rows = materialize(fingerprints(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")), "__t", ["__id"]), "fingerprints")
+    least = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))
+    out = join_unique(rows, _classes(rows, least, most), "fp", "n", rows.count())
+    return out.select(F.col("__id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BITS) -> DataFrame:
-    """``df`` without the documents that are not the first of their component; rows with a null id stay."""
-    found = materialize(near_duplicates(df, id_col, text_col, most), "near-duplicates")
-    later = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__later")).distinct()
-    kept = df.join(later, df[id_col] == later["__later"], "left_anti")
-    if not found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
+    """One row of each component: that with the smallest id, any one of them where several rows have it.
+
+    Rows are told apart by a number of their own, so an id that occurs with different texts loses none of them, and
+    of rows without an id one stays where no row of their component has one.
+    """
+    row = F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns])
+    coded = fingerprints(df.select(row.alias("__row"), df[id_col].cast("long").alias("__id"), df[text_col].cast("string").alias("__t")), "__t", ["__row", "__id"])
+    coded = materialize(coded.withColumn("__n", F.monotonically_increasing_id()), "coded")
+    least = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__n").alias("n"))
+    kept = _classes(coded.select("fp", "__id", "__n"), least, most).select(F.col("first.n").alias("__n")).distinct()
+    return coded.join(kept, "__n", "left_semi").select("__row.*")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodekv.llm import langid
 
@@ -56,6 +57,78 @@ def test_distribution_sums_to_one(models):
     assert 0.97 < p <= 1.0001
 
 
+def plain_kneser_ney(samples, order):
+    """log P(character | the characters before) by dictionaries, straight from the formulas."""
+    counts = [{} for _ in range(order + 1)]
+    for s in samples:
+        for n in range(1, order + 1):
+            for i in range(n, len(s) + 1):
+                counts[n][s[i - n : i]] = counts[n].get(s[i - n : i], 0) + 1
+    for n in range(1, order):
+        kinds = {}
+        for g in counts[n + 1]:
+            kinds[g[1:]] = kinds.get(g[1:], 0) + 1
+        counts[n] = {g: max(1, kinds.get(g, 0)) for g in counts[n]}  # a gram at the head of a text alone follows one of them
+    totals, after, discount = [{} for _ in range(order + 1)], [{} for _ in range(order + 1)], [0.0] * (order + 1)
+    for n in range(1, order + 1):
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        for g, c in counts[n].items():
+            totals[n][g[:-1]] = totals[n].get(g[:-1], 0) + c
+            after[n][g[:-1]] = after[n].get(g[:-1], 0) + 1
+    uniform = 1 / (max(2, len(counts[1])) + 1 + 1000)
+
+    def p(context, c, n):
+        if not n:
+            return uniform
+        h = context[len(context) - n + 1 :] if n > 1 else ""
+        below = p(context, c, n - 1)
+        if h not in totals[n]:
+            return below
+        return max(0.0, counts[n].get(h + c, 0) - (discount[n] if h + c in counts[n] else 0)) / totals[n][h] + discount[n] * after[n][h] / totals[n][h] * below
+
+    return lambda context, c: np.log(p(context, c, min(order, len(context) + 1)))
+
+
+def test_against_plain_kneser_ney():
+    rng = random.Random(8)
+    for lang in WORDS:
+        samples = ["".join(map(chr, langid.symbols(text(rng, lang, 25)))) for _ in range(6)]
+        model = langid.KneserNey([np.array(list(map(ord, s)), np.uint32) for s in samples])
+        plain = plain_kneser_ney(samples, langid.ORDER)
+        for other in [text(rng, lang, 20), text(rng, "aa", 10), "zzz über zebra"]:
+            points = langid.symbols(other)
+            hashes = langid.gram_hashes(points, langid.ORDER)
+            at = np.arange(langid.ORDER - 1, len(points))
+            got = model.log_probability([h[at] for h in hashes], [np.zeros(len(at), np.uint64), *(h[at - 1] for h in hashes[: langid.ORDER - 1])])
+            s = "".join(map(chr, points))
+            assert np.allclose(got, [plain(s[i - langid.ORDER + 1 : i], s[i]) for i in at], atol=1e-5)
+
+
+@pytest.mark.parametrize("slab", [1, 7, 500, 100_000])
+def test_size_of_pieces_changes_nothing(models, monkeypatch, slab):
+    rng = random.Random(9)
+    for t in (text(rng, "bb", 400).replace(" ", ""), " 12 ".join(["ΟΔΟΣ", "x", "İi", "e\u0301 Σ"] * 90), "12" * 300 + "Q" + "  " * 300, "z"):
+        points = np.concatenate([*langid.pieces(t, slab)])
+        assert np.array_equal(points, langid.symbols(t))
+        whole, n = langid.Coder(models).totals(t)
+        monkeypatch.setattr(langid, "SLAB", slab)
+        parts, m = langid.Coder(models).totals(t)
+        monkeypatch.undo()
+        assert n == m == len(points) - 1 and np.allclose(whole, parts, rtol=1e-4)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_copies_do_not_displace_other_texts(spark, parts):
+    rng = random.Random(10)
+    texts = [text(rng, "aa", 30) + str(i) for i in range(400)]
+    df = spark.createDataFrame([("aa", t) for t in texts], "lang string, text string")
+    first = langid.sample(df, "lang", "text", docs=20, chars=2000)["aa"]
+    for copied in (first[0], texts[0]):
+        more = df.unionByName(spark.range(3000).selectExpr("'aa' AS lang").withColumn("text", F.lit(copied)))
+        assert langid.sample(more.repartition(parts), "lang", "text", docs=20, chars=2000)["aa"] == first and len(first) == 20
+
+
 def test_pieces_and_memory_do_not_change_totals(models, monkeypatch):
     rng = random.Random(4)
     long = text(rng, "bb", 3000)

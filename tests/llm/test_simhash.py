@@ -108,24 +108,46 @@ def test_near_duplicates(spark, monkeypatch, bucket):
         for _ in range(rng.randrange(3)):
             words[rng.randrange(len(words))] = "zz"
         rows.append((1000 - k, " ".join(words), k, k))
-    rows += [(5, None, 1, 1), (4, "", 1, 1), (3, "...", 1, 1), (3, rows[0][1], 1, 1), (None, "x", 1, 1), (2000, "y " * 50_000, 1, 1)]
+    rows += [(5, None, 1, 1), (4, "", 1, 1), (3, "...", 1, 1), (3, rows[0][1], 1, 1), (None, "x", 1, 1), (None, rows[1][1], 1, 1), (2000, "y " * 50_000, 1, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp long, component_id long").repartition(3)
     monkeypatch.setattr(simhash.links, "__defaults__", (4, bucket))
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect())
-    live = [r for r in rows if r[0] is not None]
-    fps = [plain_fingerprint(r[1]) for r in live]
+    got = [(r.doc_id if r.doc_id is not None else -1, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    fps = [plain_fingerprint(r[1]) for r in rows]
     comp = plain_components(fps)
     least = {}
-    for r, c in zip(live, comp, strict=True):
-        least[c] = min(least.get(c, r[0]), r[0])
+    for r, c in zip(rows, comp, strict=True):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    want = [(r[0], signed(f), least[c]) for r, f, c in zip(live, fps, comp, strict=True)] + [(-1, signed(plain_fingerprint("x")), None)]
-    assert got == sorted(want)
-    assert len(set(comp)) < len(live) // 2
-    kept = simhash.keep_one_of_each(df)
+    want = [(-1 if r[0] is None else r[0], signed(f), least.get(c)) for r, f, c in zip(rows, fps, comp, strict=True)]
+    order = lambda r: (r[0], r[1], r[2] or 0)
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert len(set(comp)) < len(rows) // 2
+    check_kept(simhash.keep_one_of_each(df), df, rows)
+
+
+def check_kept(kept, df, rows):
+    """One row of each component: one of those with its smallest id."""
     assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == sorted(set(least.values()) - ({3} if 3 not in least.values() else set()))
+    comp = plain_components([plain_fingerprint(r[1]) for r in rows])
+    of = {}
+    for r, c in zip(rows, comp, strict=True):
+        of.setdefault(c, []).append(r[:2])
+    rank = lambda r: (r[0] is None, r[0] or 0)
+    got = [tuple(r)[:2] for r in kept.collect()]
+    assert len(got) == len(of)
+    for mine in of.values():
+        assert sum(r in mine for r in got) == 1
+        (row,) = [r for r in got if r in mine]
+        assert rank(row) == min(map(rank, mine))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_no_text_is_lost_with_its_id(spark, parts):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    for rows in ([(1, a), (5, a), (5, b)], [(5, b), (5, a), (1, a)], [(None, a), (None, a), (None, b), (7, b)], [(3, a), (3, a), (3, b), (3, None), (None, "")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        check_kept(simhash.keep_one_of_each(df), df, rows)
 
 
 def test_empty(spark):
