@@ -2,19 +2,27 @@
 
 Writer: one gzip member per record. Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with
 the largest id is a ``response``, the others are ``revisit`` records that refer to it. Which one that is comes
-from a pre-aggregated group-by of payload digests; hot payloads are joined by a broadcast of proven size
-(see ``runtime.join_unique``). Archives are written by Spark's own writer, with its commit protocol: a member's
-last byte is the line separator of the text format (a member that ends otherwise is followed by an empty
-one, as gzip allows), so the files are plain multi-member ``.warc.gz`` bytes.
+from a pre-aggregated group-by of payload digests. Only payloads whose digest may repeat are shuffled for it: a Bloom
+filter of the repeated digests, of at most ``FILTER_BITS`` bits whatever their number, lets the others pass by
+(a false hit is shuffled without effect); hot payloads are joined by a broadcast of proven size (see
+``runtime.join_unique``). Archives are written by Spark's own writer, with its commit protocol: a row is a run of members
+of about ``RUN_BYTES``, a file at most ``RUNS_PER_FILE`` of them, so it is bounded by bytes. A run's last byte is the
+line separator of the text format (a member that ends otherwise is followed by an empty one, as gzip allows), so
+the files are plain multi-member ``.warc.gz`` bytes.
 
 Salvage reader: each member is inflated with its checksum, and its record's version line, length and digests are
 checked. After a failed check the reader looks for the next valid member or version line, goes on there, and
-logs the bytes in between as a quarantined gap (offset, length, reason). Intact records are never lost to
-damage elsewhere in a file.
-
-Defined results: null html is an empty payload; a null id has the record id ``null``, takes part as a copy and
-is never referred to; where all copies have null ids, all are responses; rows that repeat the largest id are all
-responses; line breaks in URLs are percent-encoded; an empty table gives an archive without records.
+logs the bytes in between as a quarantined gap (offset, length, reason). The search also goes on inside a member of
+several records: a damaged one is skipped up to the next version line, and of a member whose checksum, stream or end is
+damaged the records that were inflated are kept if their own digest confirms them. A gap inside a member has the
+member's offset, and its length in inflated bytes. So a record whose bytes are intact and confirmed is not lost to damage
+elsewhere in its file, but for those behind a break in their own compressed member.
+
+Defined results: null html is an empty payload; a null url is written as ``NO_URL`` and read back as null; a null id has
+the record id ``null``, takes part as a copy and is never referred to; where all copies have null ids, all are
+responses; rows that repeat the largest id are all responses; line breaks in URLs are percent-encoded; payloads of any
+length are written and read whole (an archive of another writer is one row to Spark, so 2 GB at most); an empty table
+gives an archive without records; only the three columns named are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,16 +33,21 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import join_unique, materialize, shared_path, workers_can_import
 
 MIN_REVISIT = 1000
-#: Records in one archive file at most, and the gzip level.
-RECORDS_PER_FILE, LEVEL = 20_000, 4
+#: Bytes of members in one row, rows in one archive file at most, and the gzip level.
+RUN_BYTES, RUNS_PER_FILE, LEVEL = 1 << 20, 16, 4
+#: Bits of the largest filter of repeated digests (4 MiB), and its hash functions.
+FILTER_BITS, FILTER_HASHES = 1 << 25, 4
 DATE = "1970-01-01T00:00:00Z"
+NO_URL = "urn:lodekv:no-url"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "<urn:page:{}>"
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300") + bytes(8)
@@ -57,7 +70,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
     digest = "sha1:" + hashlib.sha1(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    target = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+    target = (NO_URL if url is None else url).replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -78,6 +91,8 @@ class Record:
     offset: int
     headers: dict[str, str]
     block: bytes
+    #: Whether a digest of its own confirmed the block.
+    confirmed: bool = False
 
     def number(self, name: str) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", self.headers.get(name, ""))
@@ -92,9 +107,12 @@ class Record:
 
 @dataclass(frozen=True)
 class Gap:
+    """Lost bytes of the file; where ``inside`` is set, inflated bytes from there on of the member at ``offset``."""
+
     offset: int
     length: int
     reason: str
+    inside: int | None = None
 
 
 class Damaged(ValueError):
@@ -118,52 +136,99 @@ def parse_record(data: bytes, at: int, offset: int) -> tuple[Record, int]:
         raise Damaged("length is wrong or the record is cut off")
     block = data[first:last]
     digest = low.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest[5:] != hashlib.sha1(block).hexdigest():
+    known = digest.startswith("sha1:")
+    if known and digest[5:] != hashlib.sha1(block).hexdigest():
         raise Damaged("block digest differs")
-    return Record(offset, headers, block), last + 4
+    return Record(offset, headers, block, known), last + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at ``at`` and where it ends; raises ``Damaged``."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(inflated bytes, end of the member, what is wrong with it) of the gzip member at ``at``."""
     opener, plain, end, step = zlib.decompressobj(31), [], at, 4096
+    wrong = None
+    while not opener.eof and end < len(data):
+        piece = data[end : end + step]
+        try:
+            plain.append(opener.decompress(piece))
+        except zlib.error as error:
+            wrong = f"member: {error}"
+            plain = [_up_to_damage(data, at, end, step)]
+            break
+        end, step = min(len(data), end + step), min(1 << 20, 4 * step)
+    if wrong is None and not opener.eof:
+        wrong = "member is cut off"
+    return b"".join(plain), end - len(opener.unused_data), wrong
+
+
+def _up_to_damage(data: bytes, at: int, sound: int, step: int) -> bytes:
+    """What inflates of the member at ``at``, whose bytes up to ``sound`` do, before the damage in the next ``step`` bytes."""
+    opener = zlib.decompressobj(31)
+    out = [opener.decompress(data[at:sound])]
     try:
-        while not opener.eof and end < len(data):
-            plain.append(opener.decompress(data[end : end + step]))
-            end, step = min(len(data), end + step), min(1 << 20, 4 * step)
-    except zlib.error as error:
-        raise Damaged(f"member: {error}") from None
-    if not opener.eof:
-        raise Damaged("member is cut off")
-    plain = b"".join(plain)
-    records, pos = [], 0
+        for k in range(sound, min(len(data), sound + step), 16):
+            out.append(opener.decompress(data[k : min(k + 16, sound + step)]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _records_within(plain: bytes, at: int, sound: bool) -> Iterator[Record | Gap]:
+    """Records and gaps of the inflated bytes of the member at ``at``; of an unsound one only confirmed records."""
+    pos, lost, reason = 0, None, ""
     while pos < len(plain):
-        found, pos = parse_record(plain, pos, at)
-        records.append(found)
-    return records, end - len(opener.unused_data)
+        try:
+            found, end = parse_record(plain, pos, at)
+            if not sound and not found.confirmed:
+                raise Damaged("no digest confirms a record of a damaged member")
+        except Damaged as error:
+            if lost is None:
+                lost, reason = pos, str(error)
+            m = _version.search(plain, pos + 1)
+            pos = m.start() if m else len(plain)
+            continue
+        if lost is not None:
+            yield Gap(at, pos - lost, reason, lost)
+            lost = None
+        yield found
+        pos = end
+    if lost is not None:
+        yield Gap(at, len(plain) - lost, reason, lost)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All intact records of an archive, and the gaps between them, in file order."""
     at, n = 0, len(data)
     lost, reason = None, ""
+    kept: list[Record] = []  # those of damaged members since the last sound place, which may lie there as plain bytes too
     while at < n:
+        records: list[Record | Gap] = []
         try:
             if data.startswith(GZIP, at):
-                records, end = _member_at(data, at)
+                plain, end, wrong = _inflate(data, at)
+                records = list(_records_within(plain, at, wrong is None))
+                if wrong is not None:
+                    raise Damaged(wrong)
+                if records and not any(isinstance(x, Record) for x in records):
+                    raise Damaged(records[0].reason)
             elif data.startswith(b"WARC/1.", at):
                 found, end = parse_record(data, at, at)
                 records = [found]
+                if any(found.headers == x.headers and found.block == x.block for x in kept):
+                    at = end
+                    continue
             else:
                 raise Damaged("neither a member nor a version line")
         except Damaged as error:
             if lost is None:
                 lost, reason = at, str(error)
+            kept += [x for x in records if isinstance(x, Record)]
+            yield from (x for x in records if isinstance(x, Record))
             m = _candidate.search(data, at + 1)
             at = m.start() if m else n
             continue
         if lost is not None:
             yield Gap(lost, at - lost, reason)
-            lost = None
+            lost, kept = None, []
         yield from records
         at = end
     if lost is not None:
@@ -174,6 +239,41 @@ def _quoted(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+def _slots(digests: pd.Series, bits: int) -> np.ndarray:
+    """Bit numbers of hex SHA-1 digests, one row each: words of the digest itself."""
+    raw = np.frombuffer(bytes.fromhex("".join(digests)), ">u4").reshape(-1, 5)[:, :FILTER_HASHES]
+    return raw.astype(np.int64) & (bits - 1)
+
+
+def may_repeat(copies: DataFrame, n: int) -> Column:
+    """A condition on ``digest`` that holds for all digests of ``copies`` (``n`` rows) and few others.
+
+    The filter has 16 bits for each digest up to ``FILTER_BITS`` in all. Set bits are merged into words before they
+    leave their tasks, so at most ``FILTER_BITS / 32`` words reach the driver.
+    """
+    spark = copies.sparkSession
+    bits = min(FILTER_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+
+    @F.pandas_udf("array<long>")
+    def slots(digests: pd.Series) -> pd.Series:
+        return pd.Series(list(_slots(digests, bits))) if len(digests) else pd.Series([], dtype=object)
+
+    words = copies.select(F.explode(slots("digest")).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    merged = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int))) AS mask")).toArrow()
+    field = np.zeros(bits // 32, np.uint32)
+    field[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(field)
+
+    @F.pandas_udf("boolean")
+    def all_set(digests: pd.Series) -> pd.Series:
+        if not len(digests):
+            return pd.Series([], dtype=bool)
+        at = _slots(digests, bits)
+        return pd.Series((sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(axis=1).astype(bool))
+
+    return all_set("digest")
+
+
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> str:
     """Write one record per row below ``path`` (default: a new folder in the shared one); returns the path."""
     spark = pages.sparkSession
@@ -185,33 +285,43 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     )
     large = F.octet_length("payload") >= min_revisit
     keyed = rows.where(large).withColumn("digest", F.sha1("payload"))
-    groups = materialize(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper")), "payloads")
-    copies = groups.where("n > 1 AND keeper IS NOT NULL")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = join_unique(keyed, copies, "digest", "n", total).select("page_id", "url", "payload", "keeper")
-    decided = joined.unionByName(rows.where(~large).withColumn("keeper", F.lit(None).cast("long")))
+    counted = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper"))
+    copies = materialize(counted.where("n > 1 AND keeper IS NOT NULL"), "payloads")
+    known = copies.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    columns = ["page_id", "url", "payload", "keeper"]
+    alone = F.lit(None).cast("long").alias("keeper")
+    maybe = may_repeat(copies, known["digests"])
+    joined = join_unique(keyed.where(maybe), copies, "digest", "n", known["rows"]).select(*columns)
+    decided = joined.unionByName(keyed.where(~maybe).select("page_id", "url", "payload", alone)).unionByName(rows.where(~large).select("page_id", "url", "payload", alone))
     decided = decided.withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):  # a large batch leaves in small ones
-                some = batch.slice(part, 256)
-                out = [member(record(r["page_id"], r["url"], r["payload"], r["keeper"], r["revisit"]))[:-1] for r in some.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    members = decided.select("page_id", "url", "payload", "keeper", "revisit").mapInArrow(run, "value binary")
-    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "none").text(path)
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
+                held.append(member(record(r["page_id"], r["url"], r["payload"], r["keeper"], r["revisit"])))
+                size += len(held[-1])
+                if size >= RUN_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    members = decided.select(*columns, "revisit").mapInArrow(run, "value binary")
+    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RUNS_PER_FILE).option("compression", "none").text(path)
     return path
 
 
-_READ = "file string, byte_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_bytes long, gap_reason string"
+_READ = "file string, byte_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_bytes long, gap_reason string, gap_inside long"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every intact record below ``path`` and every quarantined gap (``gap_bytes`` is not null there).
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload: measured for responses (a record whose
-    payload differs from its digest is quarantined), as recorded for revisits.
+    payload differs from its digest is quarantined), as recorded for revisits. ``gap_inside``: see :class:`Gap`.
     """
     workers_can_import(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -219,21 +329,22 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def rows(name: str, data: bytes) -> Iterator[tuple]:
         for x in salvage(data):
             if isinstance(x, Gap):
-                yield name, x.offset, None, None, None, None, None, None, None, x.length, x.reason
+                yield name, x.offset, None, None, None, None, None, None, None, x.length, x.reason, x.inside
                 continue
             kind = x.headers.get("WARC-Type")
             claimed = x.headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+            url = x.headers.get("WARC-Target-URI")
             length, body = x.payload()
             if kind == "response":
                 digest = hashlib.sha1(body).hexdigest()
                 if (claimed and claimed != digest) or length != len(body):
-                    yield name, x.offset, x.number("WARC-Record-ID"), None, None, None, None, None, None, 0, "payload digest or length differs"
+                    yield name, x.offset, x.number("WARC-Record-ID"), None, None, None, None, None, None, 0, "payload digest or length differs", None
                     continue
             else:
                 digest = claimed
-            yield name, x.offset, x.number("WARC-Record-ID"), x.headers.get("WARC-Target-URI"), kind, x.number("WARC-Refers-To"), length, digest, body if payloads and kind == "response" else None, None, None
+            yield name, x.offset, x.number("WARC-Record-ID"), None if url == NO_URL else url, kind, x.number("WARC-Refers-To"), length, digest, body if payloads and kind == "response" else None, None, None, None
 
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in _READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +368,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` as archives and read them back: the result has one row per page."""
+    """Write ``pages`` as archives and read them back: one row per page. A gap in what was just written is an error."""
     path = write_archives(pages, **options)
-    return read_archives(pages.sparkSession, path, payloads=False).where("gap_bytes IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = read_archives(pages.sparkSession, path, payloads=False)
+    broken = F.raise_error(F.concat(F.lit("an archive just written is damaged: "), "file", F.lit(": "), "gap_reason")).cast("boolean")
+    return read.where(F.when(F.col("gap_bytes").isNull(), F.lit(True)).otherwise(broken)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from lodekv.llm import warc
 
 
@@ -58,6 +60,62 @@ def test_cut_off_and_leading_junk():
     assert list(warc.salvage(b"")) == []
 
 
+def several():
+    return [warc.record(i, f"http://h/{i}", f"payload {i} ".encode() * 200) for i in range(6)]
+
+
+def ids_of(got):
+    return [x.number("WARC-Record-ID") for x in got if isinstance(x, warc.Record)]
+
+
+def test_one_bad_record_of_a_member_costs_no_other():
+    parts = several()
+    parts[2] = parts[2].replace(b"payload 2", b"payl0ad 2", 1)
+    got = list(warc.salvage(gzip.compress(b"".join(parts))))
+    assert ids_of(got) == [0, 1, 3, 4, 5]
+    (gap,) = [x for x in got if isinstance(x, warc.Gap)]
+    assert (gap.offset, gap.inside, gap.length) == (0, len(parts[0] + parts[1]), len(parts[2]))
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_before_a_break_in_their_member_stay(level):
+    rng = random.Random(3)
+    parts = [warc.record(i, "u", bytes(rng.randrange(256) for _ in range(3000))) for i in range(6)]
+    whole = gzip.compress(b"".join(parts), level)
+    after = warc.member(warc.record(9, "u", b"later"))
+    assert ids_of(warc.salvage(whole[:-100] + after))[-1] == 9 and ids_of(warc.salvage(whole[:-100] + after))[:-1] == [0, 1, 2, 3, 4]
+    broken = bytearray(whole)
+    broken[len(whole) // 2 : len(whole) // 2 + 400] = bytes(400)
+    got = ids_of(warc.salvage(bytes(broken) + after))
+    assert got[:2] == [0, 1] and got[-1] == 9 and len(set(got)) == len(got)
+    assert any(isinstance(x, warc.Gap) for x in warc.salvage(bytes(broken) + after))
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "RUN_BYTES", 20_000)
+    monkeypatch.setattr(warc, "RUNS_PER_FILE", 2)
+    monkeypatch.setattr(warc, "FILTER_BITS", 1 << 5)  # nearly every digest is a false hit
+    rng = random.Random(1)
+    pages = [(i, None, "".join(rng.choice("abcdefgh") for _ in range(30_000))) for i in range(30)]
+    pages += [(100 + i, "urn:none", "x" * 3_000_000) for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(df, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 8 and max(sizes) < 70_000
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == 33 and all(bytes(got[i].payload).decode() == h and got[i].url == u for i, u, h in pages[:30])
+    assert [got[100 + i].record_type for i in range(3)] == ["revisit", "revisit", "response"] and got[100].refers_to == 102
+
+
+def test_damage_to_a_fresh_archive_is_an_error(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "x" * 2000)], "page_id long, url string, html string")
+    whole = warc.record
+    monkeypatch.setattr(warc, "read_archives", lambda s, path, payloads: s.createDataFrame([("f", 0, None, None, None, None, None, None, None, 7, "cut", None)], warc._READ))
+    with pytest.raises(Exception, match="damaged"):
+        warc.round_trip(df).collect()
+    assert warc.record is whole
+
+
 def test_round_trip(spark):
     big, other = "x" * 1500, "é" * 700
     rows = [(1, "u", big), (2, "u\r\nv", big), (9, "u", big), (3, None, other), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (None, "u", "z" * 1200), (None, "u", "z" * 1200), (9, "u", big), (8, "u", "y" * 999), (10, "u", "y" * 999)]
