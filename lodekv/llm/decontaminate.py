@@ -1,16 +1,20 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned by token windows.
 
 Words are the runs ``[0-9a-z]`` and all non-ASCII bytes after A-Z has been lower-cased. Each benchmark item
-gives its windows of 13 consecutive words (an item of fewer words is one window). Workers hold the windows in
-a hash set, roll a 64-bit hash over the words of each text with numpy, look it up, and verify every candidate
-by comparing the window's words themselves; so hash collisions cannot change a result.
+gives its windows of 13 consecutive words (an item of fewer words is one window). The set is the items' normalised text,
+once, and the sorted 64-bit hashes of its windows with their places in that text. Workers roll the same hash over
+the words of each text with numpy, look it up, and verify every candidate by comparing the window's words
+themselves; so hash collisions cannot change a result.
 
-The set is broadcast only in shards of at most ``shard_bytes`` of benchmark text. A larger benchmark is
-scanned shard after shard, the hits of each pass being kept per document until the last.
+The set is broadcast only in shards whose built size (text and arrays) is at most ``SHARD_BYTES``; an item that alone is
+larger goes in pieces that overlap by a window. A larger benchmark is scanned shard after shard, the hits of each
+pass being kept per document until the last.
 
 Defined results: null or wordless texts have no words, no hits, and are not contaminated; items that are
 null, wordless or without an id are ignored; repeated items count once; repeated documents stay; an empty
-benchmark or an empty table of documents gives no hits; texts of any length are scanned whole, in pieces.
+benchmark or an empty table of documents gives no hits; texts and items of any length are scanned whole, in pieces; a
+window that many items share hits for all of them; columns of the documents that have the name of a result are
+replaced, others may have any names; an item id that is no integer is an error.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ from ..runtime import materialize, workers_can_import
 from .columns import groups, utf8, with_columns
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast set; about three times as much memory in each worker.
-SHARD_BYTES = 24 << 20
+#: Bytes of one broadcast set as it lies in each worker's memory.
+SHARD_BYTES = 48 << 20
 #: Bytes of text that are scanned at once.
 SLAB = 1 << 20
+#: Bytes of a set for each window of it: its hash, its place and width, and its item.
+WINDOW_BYTES = 24
 
 _word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -63,15 +69,55 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WindowSet:
-    """Exact set of windows with the items of each, and a vectorised scan for them."""
+    """Exact set of the windows of some items, and a vectorised scan for them."""
 
-    def __init__(self, windows: dict[bytes, list[int]]):
-        self.windows = windows
-        self.widths = sorted({w.count(b" ") + 1 for w in windows})
+    def __init__(self, items: list[tuple[int, bytes]], width: int = WINDOW):
+        """``items``: ids and normalised texts (words with one space between them, at least one)."""
         self.up, self.down = _powers(4096)
-        self.maybe = np.zeros(1 << 22, np.bool_)
-        for w in windows:
-            self.maybe[self._slot(np.frombuffer(w, np.uint8), w.count(b" ") + 1)] = True
+        self.text = np.frombuffer(b"\n".join(t for _, t in items), np.uint8)
+        parts: list[tuple[np.ndarray, ...]] = []
+        at, group, size = 0, [], 0
+        for k, (_, text) in enumerate(items):
+            group.append(k)
+            size += len(text) + 1
+            if size > SLAB or k + 1 == len(items):
+                parts += self._windows(at, size - 1, group, width)
+                at, group, size = at + size, [], 0
+        none = np.zeros(0, np.int64)
+        hashes, places, widths, owners = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none.astype(np.uint64), none, none, none)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places, self.sizes = hashes[order], places[order].astype(np.int32), widths[order].astype(np.int32)
+        self.owners = np.array([i for i, _ in items], np.int64)[owners[order]] if len(items) else none
+        self.widths = sorted(set(self.sizes.tolist()))
+        bits = max(16, int(4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, np.bool_)
+        self.maybe[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("maybe", "up", "down")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.up, self.down = _powers(4096)
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), np.bool_)
+        self.maybe[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def _windows(self, at: int, size: int, group: list[int], width: int) -> list[tuple[np.ndarray, ...]]:
+        """(hashes, places, widths, item numbers) of the items that lie in the text from ``at``."""
+        low = self.text[at : at + size]
+        item_starts = np.append(0, np.flatnonzero(low == 10) + 1)
+        starts, ends = word_bounds(low, IS_WORD[low], item_starts)
+        owner = np.searchsorted(item_starts, starts, "right") - 1
+        counts = np.bincount(owner, minlength=len(group))
+        hashes = self._word_hashes(low, starts, ends)
+        out = []
+        for w in np.unique(np.minimum(counts, width)).tolist():
+            n = len(starts) - w + 1
+            whole = (owner[:n] == owner[w - 1 :]) & (np.minimum(counts[owner[:n]], width) == w)
+            some = np.flatnonzero(whole)
+            out.append((self._roll(hashes, w)[some], starts[some] + at, np.full(len(some), w), np.array(group)[owner[some]]))
+        return out
 
     def _grow(self, n: int) -> None:
         if n > len(self.up):
@@ -95,11 +141,22 @@ class WindowSet:
             out += hashes[k : k + n]
         out ^= out >> _S
         out *= P
-        return out >> np.uint64(42)
-
-    def _slot(self, window: np.ndarray, width: int) -> int:
-        starts, ends = word_bounds(window, IS_WORD[window], np.zeros(0, np.int64))
-        return int(self._roll(self._word_hashes(window, starts, ends), width)[0])
+        return out
+
+    def _items_of(self, window: bytes, key: np.uint64, width: int) -> np.ndarray:
+        """The items that have this window of so many words."""
+        first, last = np.searchsorted(self.hashes, key, "left"), np.searchsorted(self.hashes, key, "right")
+        at = self.places[first:last][self.sizes[first:last] == width].astype(np.int64)
+        items = self.owners[first:last][self.sizes[first:last] == width]
+        wanted = np.frombuffer(window + b" ", np.uint8)
+        at, items = at[at + len(window) <= len(self.text)], items[at + len(window) <= len(self.text)]
+        for lo in range(0, len(at), 1 << 12):
+            spot = at[lo : lo + (1 << 12), None] + np.arange(len(window))
+            same = (self.text[spot] == wanted[:-1]).all(axis=1)
+            after = at[lo : lo + (1 << 12)] + len(window)
+            ended = np.where(after < len(self.text), self.text[np.minimum(after, len(self.text) - 1)], 10) <= 32
+            at[lo : lo + (1 << 12)] = np.where(same & ended, at[lo : lo + (1 << 12)], -1)
+        return np.unique(items[at >= 0])
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray):
         """(word starts, word ends, text of each word, hit flag of each word, [(text, items)]) of a slab."""
@@ -110,15 +167,21 @@ class WindowSet:
         found: list[tuple[int, list[int]]] = []
         if len(starts) and self.widths and len(starts) >= self.widths[0]:
             hashes = self._word_hashes(low, starts, ends)
+            known: dict[bytes, list[int]] = {}
             for width in self.widths:
                 if width > len(starts):
                     break
                 n = len(starts) - width + 1
-                some = np.flatnonzero(self.maybe[self._roll(hashes, width)] & (owner[:n] == owner[width - 1 :]))
+                rolled = self._roll(hashes, width)
+                some = np.flatnonzero(self.maybe[(rolled >> self.shift).astype(np.int64)] & (owner[:n] == owner[width - 1 :]))
+                at = np.minimum(np.searchsorted(self.hashes, rolled[some]), len(self.hashes) - 1)
+                some = some[self.hashes[at] == rolled[some]]
                 for i in some.tolist():
                     window = b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + width))
-                    items = self.windows.get(window)
-                    if items is not None:
+                    items = known.get(window)
+                    if items is None:
+                        items = known[window] = self._items_of(window, rolled[i], width).tolist()
+                    if items:
                         hit[i : i + width] = True
                         found.append((int(owner[i]), items))
         return starts, ends, owner, hit, found
@@ -189,20 +252,36 @@ def _next_gap(data: np.ndarray, at: int) -> int:
     return len(data)
 
 
-def benchmark_shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, shard_bytes: int) -> Iterator[dict[bytes, list[int]]]:
-    """The windows of the benchmark with their items, in sets of a checked size."""
+def item_pieces(words: list[bytes], window: int, most: int) -> Iterator[bytes]:
+    """An item's normalised text, in pieces of about ``most`` bytes as built, which overlap by ``window - 1`` words."""
+    first = 0
+    while True:
+        size, last = 0, first
+        while last < len(words) and (size < most or last < first + window):
+            size += len(words[last]) + 1 + WINDOW_BYTES
+            last += 1
+        yield b" ".join(words[first:last])
+        if last == len(words):
+            return
+        first = last - window + 1
+
+
+def benchmark_shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, shard_bytes: int) -> Iterator[WindowSet]:
+    """Sets of the benchmark's windows, each of at most about ``shard_bytes``; one empty set if there are none."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-2 * size // shard_bytes)) if size > shard_bytes else 1
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        windows: dict[bytes, list[int]] = {}
-        for row in part.toLocalIterator():
-            for w in windows_of(words_of(row.text.encode("utf-8", "surrogatepass")), window):
-                ids = windows.setdefault(w, [])
-                if row.item_id not in ids:
-                    ids.append(row.item_id)
-        yield windows
+    held: list[tuple[int, bytes]] = []
+    size, shards = 0, 0
+    for row in items.toLocalIterator():
+        words = words_of(row.text.encode("utf-8", "surrogatepass"))
+        for piece in item_pieces(words, window, shard_bytes // 2) if words else ():
+            mine = len(piece) + 1 + WINDOW_BYTES * (piece.count(b" ") + 1)
+            if held and size + mine > shard_bytes:
+                yield WindowSet(held, window)
+                held, size, shards = [], 0, shards + 1
+            held.append((row.item_id, piece))
+            size += mine
+    if held or not shards:
+        yield WindowSet(held, window)
 
 
 _SPAN = T.ArrayType(T.LongType(), False)
@@ -228,7 +307,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shipped = spark.sparkContext.broadcast(windows)
 
         def make(shipped=shipped):
-            found = WindowSet(shipped.value)
+            found = shipped.value
 
             def compute(column: pa.Array) -> list[pa.Array]:
                 rows = list(scan_texts(found, *utf8(column)))

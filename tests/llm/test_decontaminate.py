@@ -32,7 +32,7 @@ def check(got, items, docs):
         assert r.contaminated == (n_hit > 0 and 20 * n_hit >= n_words)
 
 
-@pytest.mark.parametrize("shard_bytes", [d.SHARD_BYTES, 400])
+@pytest.mark.parametrize("shard_bytes", [d.SHARD_BYTES, 2500])
 def test_against_brute_force(spark, shard_bytes):
     items, docs = corpus()
     docs += [(100, None), (101, ""), (102, "?!"), (103, items[3]), (104, "w1")]
@@ -50,15 +50,12 @@ def test_against_brute_force(spark, shard_bytes):
 def test_long_text_in_pieces(monkeypatch):
     items, docs = corpus(2)
     text = " ".join(t for _, t in docs * 3)
-    windows = {}
-    for i, t in items.items():
-        for w in d.windows_of(d.words_of(t.encode()), d.WINDOW):
-            windows.setdefault(w, []).append(i)
+    windows = d.WindowSet([(i, b" ".join(d.words_of(t.encode()))) for i, t in items.items()])
     monkeypatch.setattr(d, "SLAB", 200)
     for t in (text, "x" * 1000 + " " + text + " " + "y" * 900, "", "z" * 700):
         import pyarrow as pa
 
-        ((n, found, spans),) = d.scan_texts(d.WindowSet(windows), *utf8(pa.array([t])))
+        ((n, found, spans),) = d.scan_texts(windows, *utf8(pa.array([t])))
         want = d.brute_force(t, items)
         assert (n, len(spans), sorted(found)) == want
 
@@ -66,7 +63,7 @@ def test_long_text_in_pieces(monkeypatch):
 def test_no_word_crosses_texts():
     import pyarrow as pa
 
-    rows = list(d.scan_texts(d.WindowSet({b"ab": [1]}), *utf8(pa.array(["a", "b", "ab", "xab"]))))
+    rows = list(d.scan_texts(d.WindowSet([(1, b"ab")]), *utf8(pa.array(["a", "b", "ab", "xab"]))))
     assert [(n, sorted(f)) for n, f, _ in rows] == [(1, []), (1, []), (1, [1]), (1, [])]
     assert isinstance(rows[0][2], np.ndarray)
 
@@ -83,3 +80,36 @@ def test_removal_and_empty_tables(spark):
     assert all(len(cleaned[i]) < len(t) for i, t in docs if i in bad)
     assert d.remove_contaminated(df.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in d.contamination(df, bench.limit(0)).collect())
+
+
+def test_items_in_pieces_and_shared_windows():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(40)}".encode() for _ in range(900)]
+    for most in (1, 60, 10_000):
+        pieces = list(d.item_pieces(words, d.WINDOW, most))
+        got = {w for p in pieces for w in d.windows_of(p.split(b" "), d.WINDOW)}
+        assert got == d.windows_of(words, d.WINDOW)
+    passage = " ".join(f"p{i}" for i in range(15))
+    items = {i: f"{passage} only{i}" for i in range(50)} | {90: "p3", 91: "p3 p4"}
+    sets = d.WindowSet([(i, t.encode()) for i, t in items.items()])
+    texts = [f"a {passage} b", "P3. p4", "p33 p3x", passage[: passage.rindex(" ")]]
+    for t, (n, found, spans) in zip(texts, d.scan_texts(sets, *utf8(pa.array(texts))), strict=True):
+        assert (n, len(spans), sorted(found)) == d.brute_force(t, items)
+
+
+def test_built_size_is_bounded(spark):
+    """A shard's memory is what the parameter says, and its pickle is smaller."""
+    import pickle
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.randrange(10**5)}" for _ in range(400))) for i in range(300)] + [(999, " ".join(f"{rng.randrange(10**5)}" for _ in range(60_000)))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    shards = list(d.benchmark_shards(bench, "item_id", "text", d.WINDOW, 1 << 20))
+    assert len(shards) > 3
+    for x in shards:
+        assert x.text.nbytes + x.hashes.nbytes + x.places.nbytes + x.sizes.nbytes + x.owners.nbytes <= 1.05 * (1 << 20)
+        assert len(pickle.dumps(x)) <= 1.05 * (1 << 20)
+    windows = {w for _, t in rows for w in d.windows_of(t.encode().split(b" "), d.WINDOW)}
+    assert len(windows) <= sum(len(x.hashes) for x in shards) <= len(windows) + 13 * len(shards)
