@@ -10,17 +10,25 @@ the articles beside it, whatever the density of their parts. Without one, all of
 beside the core or its ancestors that are mostly links.
 
 A class or id does not make boilerplate of what holds the page's article or main, or all but a tenth of its text.
+Inside an article or main its words only weigh: a block of running text there stays unless a whole name of it says
+that it is an advert, a notice, a sidebar, a form or readers' comments.
 
 The text is that of the content in page order: character references decoded, white space inside a block
 turned into one space, blocks joined by one line feed.
 
-Defined results: null or empty html, or a page without content, gives an empty text; repeated pages stay; pages
-of any size are read whole; columns of the input that have the name of a result are replaced.
+Time is linear in the page: tags are sought only before the last ``>``; after ``QUOTE_MISSES`` tags whose quotes never end,
+tags end at the first ``>``; what an end tag or an implied end closes is looked up in scopes that every open element
+carries, and each element is closed once.
+
+Defined results: null or empty html, or a page without content, gives an empty text; of subtrees with equal sums the
+first in page order is the core; repeated pages stay; pages of any size are read whole; columns of the input that
+have the name of a result are replaced, others may have any names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 from math import e, log
 
@@ -31,7 +39,10 @@ from pyspark.sql import types as T
 from ..runtime import workers_can_import
 from .columns import texts, with_columns
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_open = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_quoted_tag = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: Tags with quotes that never end, after which quotes are no longer heeded.
+QUOTE_MISSES = 16
 _attribute = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _part = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
@@ -41,6 +52,12 @@ BOILERPLATE = frozenset("head script style noscript template iframe noembed nofr
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of class names and ids that mark boilerplate.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments commentlist disqus respond replies share sharing social newsletter subscribe signup login related recommended pagination pager search skip".split())
+#: Those of them that name parts of an article as well.
+WEAK = frozenset("promotion notification overlay widget widgets share sharing social related recommended search skip footer".split())
+#: Words beside a mark that do not change what a name says.
+NEUTRAL = frozenset("area bar block bottom box container content footer header inner item left link links list main note outer panel post reader right row section site slot text title top unit user wrap wrapper".split())
+#: Characters of a block of running text at least.
+RUNNING = 80
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: A start tag of the key ends an open element of the values, unless one of the limits stands between.
 IMPLIED = {
@@ -56,14 +73,22 @@ IMPLIED = {
     "option": (("option",), frozenset("select optgroup datalist".split())),
 }
 _raw_end = {name: re.compile(f"</{name}(?=[\\s/>])|</{name}\\Z", re.I) for name in RAW}
+#: The different (ends, limits) of the rules, and the number of each start tag's rule.
+_RULES = list(dict.fromkeys(IMPLIED.values()))
+_RULE_OF = {name: _RULES.index(rule) for name, rule in IMPLIED.items()}
+_SCOPED = frozenset(x for ends, limits in _RULES for x in (*ends, *limits))
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "boiler", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "items", "boiler", "marked", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, boiler: bool):
-        self.name, self.parent, self.boiler, self.marked = name, parent, boiler, False
+        self.name, self.parent, self.boiler, self.marked = name, parent, boiler, 0
         self.items: list[Node | str] = []
+        #: For each rule, the outermost open element within its limits that a start tag of the rule would end.
+        self.scope: tuple[Node | None, ...] = (None,) * len(_RULES) if parent is None else parent.scope
+        if name in _SCOPED:
+            self.scope = tuple(None if name in limits else held if held is not None or name not in ends else self for (ends, limits), held in zip(_RULES, self.scope, strict=True))
 
 
 def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
@@ -80,87 +105,135 @@ def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def _is_marked(name: str, attributes: str) -> bool:
-    """Whether a word of its class or id marks the element as boilerplate."""
+def _mark(name: str, attributes: str) -> int:
+    """How far a word of its class or id marks the element as boilerplate: 0 not, 1 by a word, 2 by a whole name."""
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
-    return any(key.lower() in ("class", "id") and not MARKS.isdisjoint(p.lower() for p in _part.findall(a or b or c)) for key, a, b, c in _attribute.findall(attributes))
+        return 0
+    found = 0
+    for key, a, b, c in _attribute.findall(attributes):
+        if key.lower() not in ("class", "id"):
+            continue
+        for whole in (a or b or c).split():
+            parts = {p.lower() for p in _part.findall(whole) if not p.isdigit()}
+            marks = parts & MARKS
+            if marks:
+                found = max(found, 2 if marks - WEAK and parts - MARKS <= NEUTRAL else 1)
+    return found
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, is it an end tag, name, attributes) of all tags; comments and declarations have no name."""
+    at, last, misses = 0, html.rfind(">"), 0
+    while True:
+        m = _open.search(html, at)
+        if m is None:
+            return
+        name, start = m[2], m.start()
+        if name is None:
+            comment = html.startswith("<!--", start)
+            close = html.find("-->", start + 4) if comment else html.find(">", m.end())
+            if close < 0 and not comment:
+                at = m.end()
+                continue
+            at = len(html) if close < 0 else close + (3 if comment else 1)
+            yield start, at, False, None, ""
+            continue
+        if start > last:
+            at = m.end()
+            continue
+        whole = _quoted_tag.match(html, m.end()) if misses < QUOTE_MISSES else None
+        if whole is not None:
+            at, attributes = whole.end(), whole[1]
+        else:
+            misses += 1
+            close = html.find(">", m.end())
+            if close < 0:
+                at = m.end()
+                continue
+            at, attributes = close + 1, html[m.end() : close]
+        skip = yield start, at, bool(m[1]), name.lower(), attributes
+        if skip is not None:
+            at = skip
 
 
 def parse(html: str) -> Node:
     """The tree of a page; the root stands for the body. Start and end tags of html and body are ignored."""
     root = Node("body", None, False)
-    open_, articles, at, n = root, 0, 0, len(html)
-    while at < n:
-        m = _token.search(html, at)
-        if m is None:
-            open_.items.append(html[at:])
+    open_, n = root, len(html)
+    opened: dict[str, int] = {}
+    done = 0
+
+    def close(x: Node) -> Node:
+        """Closes the open element and its parents up to ``x``; returns its parent."""
+        y = open_
+        while y is not x.parent:
+            opened[y.name] -= 1
+            y = y.parent
+        return y
+
+    tags, jump = _tags(html), None
+    while True:
+        try:
+            start, at, closing, name, attributes = tags.send(jump)
+        except StopIteration:
             break
-        if m.start() > at:
-            open_.items.append(html[at : m.start()])
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
-        if name is None:
-            continue
-        name = name.lower()
-        if name in ("html", "body"):
+        jump = None
+        if start > done:
+            open_.items.append(html[done:start])
+        done = at
+        if name is None or name in ("html", "body"):
             continue
         if closing:
-            x = open_
-            while x is not root and x.name != name:
-                x = x.parent
-            if x is root:
-                if name in ("br", "p"):
-                    open_.items.append(Node(name, open_, False))
-                continue
-            y = open_
-            while y is not x.parent:
-                articles -= y.name in ("article", "main")
-                y = y.parent
-            open_ = x.parent
+            if opened.get(name):
+                x = open_
+                while x.name != name:
+                    x = x.parent
+                open_ = close(x)
+            elif name in ("br", "p"):
+                open_.items.append(Node(name, open_, False))
             continue
-        if name in IMPLIED:
-            ends, limits = IMPLIED[name]
-            x, last = open_, None
-            while x is not root and x.name not in limits:
-                if x.name in ends:
-                    last = x
-                x = x.parent
-            if last is not None:
-                y = open_
-                while y is not last.parent:
-                    articles -= y.name in ("article", "main")
-                    y = y.parent
-                open_ = last.parent
-        node = Node(name, open_, _is_boilerplate(name, attributes, articles > 0))
-        node.marked = not node.boiler and _is_marked(name, attributes)
+        if name in _RULE_OF and (x := open_.scope[_RULE_OF[name]]) is not None:
+            open_ = close(x)
+        in_article = bool(opened.get("article") or opened.get("main"))
+        node = Node(name, open_, _is_boilerplate(name, attributes, in_article))
+        node.marked = 0 if node.boiler else _mark(name, attributes)
         open_.items.append(node)
         if name in RAW:
             end = _raw_end[name].search(html, at)
             if end is None:
+                done = n
                 break
-            close = html.find(">", end.end())
-            at = close + 1 if close >= 0 else n
+            last = html.find(">", end.end())
+            done = jump = last + 1 if last >= 0 else n
         elif name not in VOID and not (attributes.endswith("/") and name not in BLOCKS):
             open_ = node
-            articles += name in ("article", "main")
+            opened[name] = opened.get(name, 0) + 1
+    if done < n:
+        open_.items.append(html[done:])
     settle_marks(root)
     return root
 
 
 def settle_marks(root: Node) -> None:
     """Makes boilerplate of the marked elements that hold neither the article nor nearly all of the text."""
-    order, stack = [], [(root, 0)]
+    order, stack = [], [(root, 0, False, False)]
+    inside = set()
     while stack:
-        node, depth = stack.pop()
-        order.append((node, depth + node.marked))
+        node, depth, within, linked = stack.pop()
+        linked = linked or node.name == "a"
+        order.append((node, depth + bool(node.marked)))
+        if within:
+            inside.add(id(node))
+        within = within or node.name in ("article", "main")
         node.chars = sum(len(" ".join(unescape(x).split())) for x in node.items if type(x) is str)
-        stack.extend((x, depth + node.marked) for x in reversed(node.items) if type(x) is not str and not x.boiler)
+        node.link_chars = node.chars if linked else 0
+        stack.extend((x, depth + bool(node.marked), within, linked) for x in reversed(node.items) if type(x) is not str and not x.boiler)
     if not any(node.marked for node, _ in order):
         return
     for node, _ in reversed(order):
         if node.parent is not None:
             node.parent.chars += node.chars
+            node.parent.link_chars += node.link_chars
     articles = [(depth, -node.chars, k) for k, (node, depth) in enumerate(order) if node.name in ("article", "main") and node.chars]
     holders = set()
     if articles:
@@ -169,7 +242,9 @@ def settle_marks(root: Node) -> None:
             holders.add(id(x))
             x = x.parent
     for node, _ in order:
-        node.boiler = node.boiler or (node.marked and id(node) not in holders and (bool(articles) or node.chars * 10 <= root.chars * 9))
+        if node.marked == 1 and id(node) in inside and node.chars >= RUNNING and node.link_chars * 3 < node.chars:
+            continue
+        node.boiler = node.boiler or (node.marked > 0 and id(node) not in holders and (bool(articles) or node.chars * 10 <= root.chars * 9))
 
 
 def measure(root: Node) -> list[Node]:

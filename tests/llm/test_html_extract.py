@@ -1,8 +1,11 @@
 """Extraction on small pages, and the defined edge cases."""
 
+import time
+from math import e, log
+
 import pytest
 
-from lodekv.llm.html_extract import extract, main_text
+from lodekv.llm.html_extract import content, extract, main_text, measure, parse
 
 LONG = "This is a sentence of the article that goes on for a while, with some words in it. " * 4
 
@@ -71,3 +74,85 @@ BODY = "\n".join([PARAGRAPH] * 20)
 )
 def test_nested_pages(html, want):
     assert main_text(html) == want
+
+
+@pytest.mark.parametrize("name", ["search-results", "related", "share-prices", "social-history", "footer-notes"])
+def test_a_word_of_a_class_does_not_drop_running_text(name):
+    assert main_text(page(f"<article><p>{LONG}</p><p class='{name}'>{PARAGRAPH}</p></article>")) == f"{LONG.strip()}\n{PARAGRAPH}"
+    assert main_text(page(f"<article><p>{LONG}</p><div id='{name}'><p>{PARAGRAPH}</p><p>{LONG}</p></div></article>")) == f"{LONG.strip()}\n{PARAGRAPH}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", ["ad", "advert-box", "cookie-notice", "reader-comments", "comments", "newsletter", "sidebar_right", "promo", "adSlot top"])
+def test_names_of_boilerplate_do_inside_an_article(name):
+    assert main_text(page(f"<article><p>{LONG}</p><div class='{name}'><p>{PARAGRAPH}</p></div></article>")) == LONG.strip()
+
+
+def test_short_or_linked_blocks_with_a_weak_name_go():
+    links = "".join(f"<a href={i}>another article of this site</a> " for i in range(6))
+    for block in ("<div class=share>Share this</div>", f"<div class=related>{links}</div>", f"<ul class='related-links'><li>{links}</ul>"):
+        assert main_text(page(f"<article><p>{LONG}</p>{block}</article>")) == LONG.strip()
+
+
+N = 60_000
+HOSTILE = {
+    "unclosed tags": "<a " * N,
+    "unclosed quotes": "<a '" * N,
+    "quotes that end nowhere": "<a " + "\" > \" ' > ' " * N + "\"",
+    "tags inside quotes": "<a \"<a >\" " * N + "\"",
+    "nested": "<div>" * N,
+    "nested within an open paragraph": "<p><button>" + "<div>" * N,
+    "spans and blocks": "<p>" + "<span><div>" * N,
+    "stray ends": "<b>" * N + "</i></table></li>" * N,
+    "list items": "<ul><li>" * N + "<li>" * N,
+    "unclosed comments": "<!-- " * N,
+    "declarations": "<! " * N,
+    "classes": "<p class='" * N,
+    "raw": "<script>" * N + "</script" * N,
+    "cells": "<table><tr><td>" * (N // 3),
+    "entities": "&" * N + "&amp" * N,
+}
+
+
+@pytest.mark.parametrize("shape", HOSTILE)
+def test_hostile_pages_take_linear_time(shape):
+    start = time.process_time()
+    assert main_text(HOSTILE[shape]) is not None
+    assert time.process_time() - start < 8
+
+
+def test_density_against_the_formulas():
+    """Densities, sums and the core of a page, recomputed by recursion."""
+    links = "<div><a href=a>one link</a> <a href=b>another</a> and text</div>"
+    root = parse(page(f"<div><div><p>{LONG}</p><p>short <a href=c>link</a></p></div>{links}</div><div><p>{PARAGRAPH}<br>{PARAGRAPH}</p></div>"))
+    order = measure(root)
+    kids = lambda x: [y for y in x.items if type(y) is not str and not y.boiler]
+
+    def counts(x, linked=False):
+        linked = linked or x.name == "a"
+        own = sum(len(" ".join(y.split())) for y in x.items if type(y) is str)
+        chars, tags, link_chars, link_tags = own, 0, own if linked else 0, 0
+        for y in kids(x):
+            c, t, lc, lt = counts(y, linked)
+            chars, tags, link_chars, link_tags = chars + c, tags + t + (y.name not in ("br", "img")), link_chars + lc, link_tags + lt + (y.name == "a")
+        return chars, tags, link_chars, link_tags
+
+    whole = counts(root)
+
+    def density(x, linked):
+        c, t, lc, lt = counts(x, linked)
+        if not c:
+            return 0.0
+        t1, lc1, lt1 = max(1, t), max(1, lc), max(1, lt)
+        base = log(c / max(1, c - lc) * lc1 + max(1, whole[2]) / max(1, whole[0]) * c + e)
+        return c / t1 * max(0.0, log(c / lc1 * t1 / lt1)) / log(base)
+
+    def walk(x, linked=False):
+        linked = linked or x.name == "a"
+        inner = [walk(y, linked) for y in kids(x)]
+        mine = density(x, linked)
+        assert x.density == pytest.approx(mine) and x.total == pytest.approx(sum(inner) if inner else mine)
+        return mine
+
+    walk(root)
+    core = max(order, key=lambda x: x.total)
+    assert core.name == "div" and PARAGRAPH not in str(core.items) and content(root)
