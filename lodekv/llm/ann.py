@@ -9,14 +9,16 @@ Index: every vector goes to its most probable part. Search: a query goes to the
 probabilities sum to a mass (at least ``MIN_PROBES`` of them), and its candidates there are reranked by exact
 double-precision inner products. The mass is the least that reaches ``TARGET_RECALL`` on vectors of the sample
 that were held back from the fit. Parts larger than the average are split into blocks by hash (at most ``BLOCK_BYTES`` of candidates), and
-the queries of a large part too; so a part that holds a third of all rows is many tasks. Each
-block passes on its best k candidates for each query, ties broken by the smaller id, and a query's candidates
-are merged by a window over at most k rows of each block.
+the queries that were counted for a part too (at most about ``QUERY_BYTES`` in a block); so a part that holds a third of
+all rows is many tasks. Vectors travel in the precision they are stored in. Each block passes on its best k candidates
+for each query, ties broken by the smaller id, and a query's candidates are merged by a window over at most k rows of each block.
+Where vectors have no cluster structure, a high recall needs most parts, and the work is that share of all pairs.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part; rows that repeat an id and vector count once; of one id with several vectors each is a
 candidate, and the first in the vectors' order is the query; a query is never its own neighbour; with fewer than k candidates in the
-probed parts the query goes to all parts. An empty table gives no rows.
+probed parts the query goes to all parts; inner products that overflow keep their IEEE value, and those that are not a
+number come last; columns of the input may have any names, only the two named are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ SAMPLE, GRAPH_NEIGHBOURS = 8000, 10
 PARTS, MAX_PARTS = 32, 256
 MIN_PROBES = 3
 #: Recall that the probability mass is chosen for, on this many vectors of the sample that the model has not seen.
-TARGET_RECALL, HELD_BACK = 0.95, 500
-#: Candidates of a block: a quarter more than those of an average part, within these bounds (rows, bytes). Queries of a block, about.
-MIN_BLOCK, BLOCK_BYTES, QUERY_BLOCK = 512, 32 << 20, 1024
+TARGET_RECALL, HELD_BACK = 0.94, 500
+#: Candidates of a block: a quarter more than those of an average part, within these bounds (rows, bytes). Queries of a block, about, or their bytes.
+MIN_BLOCK, BLOCK_BYTES, MIN_QUERIES, QUERY_BYTES = 512, 32 << 20, 256, 8 << 20
+#: Inner products that are held at once.
+PRODUCTS = 2 << 20
 HIDDEN, EPOCHS = 96, 30
 
 
@@ -200,8 +204,10 @@ class Partitions:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id`` and ``v`` (doubles) of the rows that take part, each once."""
-    v = F.col("`" + vector_col + "`").cast("array<double>")
+    """``vec_id`` and ``v`` (floats as they are, else doubles) of the rows that take part, each once."""
+    v = F.col("`" + vector_col + "`")
+    kind = df.select(v.alias("v")).schema["v"].dataType
+    v = v if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else v.cast("array<double>")
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = df.select(F.col("`" + id_col + "`").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(fine)
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -218,21 +224,23 @@ def top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     """For each query (position, ids, scores) of its best k candidates; exact scores, ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
-    sizes = np.linalg.norm(x, axis=1)
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
-        rough = part @ x.T
-        rough[ids[None, :] == query_ids[at : at + 256, None]] = -np.inf
-        margin = 1e-12 * np.linalg.norm(part, axis=1) * sizes.max(initial=0)
-        if len(ids) > k:
-            floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1] - margin
-        else:
+    with np.errstate(over="ignore", invalid="ignore"):
+        largest = np.linalg.norm(x, axis=1).max(initial=0)
+        step = max(1, PRODUCTS // max(1, len(x)))
+        for at in range(0, len(queries), step):
+            part = queries[at : at + step]
+            own = ids[None, :] == query_ids[at : at + step, None]
+            rough = part @ x.T
+            rough[own | np.isnan(rough)] = -np.inf
             floor = np.full(len(part), -np.inf)
-        for i in range(len(part)):
-            near = np.flatnonzero((rough[i] >= floor[i]) & (rough[i] > -np.inf))
-            scores = (x[near] * part[i]).sum(axis=1)  # the same order of additions for every candidate
-            best = np.lexsort((ids[near], -scores))[:k]
-            yield at + i, ids[near[best]], scores[best]
+            if len(ids) > k:
+                margin = 1e-12 * np.linalg.norm(part, axis=1) * largest
+                floor = np.where(np.isfinite(margin), -np.partition(-rough, k - 1, axis=1)[:, k - 1] - margin, -np.inf)
+            for i in range(len(part)):
+                near = np.flatnonzero((rough[i] >= floor[i]) & ~own[i])
+                scores = (x[near] * part[i]).sum(axis=1)  # the same order of additions for every candidate
+                best = np.lexsort((ids[near], np.where(np.isnan(scores), np.inf, -scores)))[:k]
+                yield at + i, ids[near[best]], scores[best]
 
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, mass: float | None = None, min_probes: int = MIN_PROBES) -> DataFrame:
@@ -252,15 +260,15 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     mass = model.mass if mass is None else mass
     shipped = spark.sparkContext.broadcast(model)
 
+    kind = rows.schema["v"].dataType.simpleString()
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = shipped.value.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    placed = materialize(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, part int"), "placed")
-    sizes = np.zeros(model.parts, np.int64)
-    for r in placed.groupBy("part").count().collect():  # at most MAX_PARTS rows
-        sizes[r["part"]] = r["count"]
+    placed = materialize(rows.select("vec_id", "v").mapInArrow(place, f"vec_id long, v {kind}, part int"), "placed")
+    sizes = _by_part(placed.groupBy("part").count(), model.parts)
     copies = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,20 +278,34 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 some = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    def count_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(model_parts, np.int64)
+        for some in route(batches):
+            total += np.bincount(some.column(2).to_numpy(), minlength=model_parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(model_parts, dtype=np.int32)), pa.array(total)], names=["part", "n"])
+
+    model_parts = model.parts
+    queries = materialize(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = _by_part(queries.mapInArrow(count_routes, "part int, n long").groupBy("part").agg(F.sum("n").alias("count")), model.parts)
     width = rows.select(F.size("v")).first()[0]
     block = int(np.clip(1.25 * n / model.parts, MIN_BLOCK, max(MIN_BLOCK, BLOCK_BYTES // (8 * width))))
-    return _search_blocks(placed, queries.mapInArrow(route, "vec_id long, v array<double>, part int"), sizes, block, k, n, queries.count())
+    return _search_blocks(placed, queries.mapInArrow(route, f"vec_id long, v {kind}, part int"), sizes, asked, block, max(MIN_QUERIES, QUERY_BYTES // (8 * width)), k)
+
+
+def _by_part(counts: DataFrame, parts: int) -> np.ndarray:
+    out = np.zeros(parts, np.int64)
+    for r in counts.collect():  # at most MAX_PARTS rows
+        out[r["part"]] = r["count"]
+    return out
 
 
-def _search_blocks(placed: DataFrame, routed: DataFrame, sizes: np.ndarray, block: int, k: int, n: int, n_queries: int) -> DataFrame:
-    """Every routed query against every block of its part; the best k of all."""
+def _search_blocks(placed: DataFrame, routed: DataFrame, sizes: np.ndarray, asked: np.ndarray, block: int, query_block: int, k: int) -> DataFrame:
+    """Every routed query against every block of its part; the best k of all. ``sizes``, ``asked``: rows and queries of each part."""
     of_part = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
     blocks = of_part(np.maximum(1, -(-sizes // block)))
-    # a part's queries are about in proportion to its candidates
-    query_blocks = of_part(np.maximum(1, -(-sizes * n_queries // (n * QUERY_BLOCK))))
+    query_blocks = of_part(np.maximum(1, -(-asked // query_block)))
     wide = placed.select("part", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("query_block"), "vec_id", "v")
-    asked = routed.select("part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), query_blocks).cast("int").alias("query_block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    questions = routed.select("part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), query_blocks).cast("int").alias("query_block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     schema = "query_id long, vec_id long, score double"
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -299,6 +321,6 @@ def _search_blocks(placed: DataFrame, routed: DataFrame, sizes: np.ndarray, bloc
         return pa.table([pa.array(c, t) for c, t in zip((columns[0].astype(np.int64), columns[1].astype(np.int64), columns[2]), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     keys = ["part", "block", "query_block"]
-    found = wide.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(nearest, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = wide.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInArrow(nearest, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

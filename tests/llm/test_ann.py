@@ -50,6 +50,8 @@ def test_top_breaks_ties_by_id():
 @pytest.mark.parametrize("hot", [False, True])
 def test_search(spark, monkeypatch, hot):
     monkeypatch.setattr(ann, "MIN_BLOCK", 64)
+    monkeypatch.setattr(ann, "MIN_QUERIES", 8)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 0)
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(c) for c in rng.normal(size=4)]) for i in range(900)]
     if hot:
@@ -78,3 +80,10 @@ def test_few_and_none(spark):
     assert len(got) == 5 * 4
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.search(df.limit(1), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_products_that_overflow(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [1e200, 1.0]), (3, [-1e200, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [2, 4, 3, 1] and got[0][1] == float("inf") and np.isnan(got[3][1])
