@@ -15,8 +15,10 @@ broadcast. Blocks of texts ask every part for the values of their distinct grams
 worker holds more than one part and one block. The base score is a unigram model over words: the most frequent
 words (at most ``FREQUENT``, by count) are broadcast with their counts, all others are joined by shuffle.
 
-Defined results: a null text is empty and has the end token alone; rows that repeat stay; without any training
-text all counts are 0 and each byte costs eight bits; rows with a null id belong to fold ``crc32('')``.
+Defined results: a null text is empty and has the end token alone; rows that repeat stay, and each counts in training;
+without any training text all counts are 0 and each byte costs eight bits; an empty table gives no rows; texts of any length are
+read whole, in pieces; rows whose ``train`` condition is null are held out; only the id, the text and the columns of
+``train`` are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -42,9 +44,11 @@ DEEP = 3
 PART_GRAMS, PART_BYTES = 400_000, 32 << 20
 FREQUENT = 300_000
 #: Bytes that are coded at once; distinct grams and words that a worker counts before it passes them on.
-SLAB, GRAMS, WORDS = 2 << 20, 3_000_000, 300_000
+SLAB, GRAMS, WORDS = 1 << 20, 2_500_000, 200_000
 #: Bytes of the texts that ask for values together, and slots for finding grams that repeat within a slab.
-BLOCK, REPEATS = 8 << 20, 1 << 21
+BLOCK, REPEATS = 16 << 20, 1 << 20
+#: Rows whose texts become Python objects at once.
+ROWS = 1024
 REMEMBERED = 1 << 21
 END = b"\n"
 
@@ -89,12 +93,18 @@ def slabs(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], int]]:
         yield owners, streams, 0
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts
 
 
 def count_corpus(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,14 +116,14 @@ def count_corpus(texts: DataFrame, text_col: str = "text") -> DataFrame:
         held = 0
 
         def pass_on(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "gram", "n"])
 
         def pass_words() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
             words.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = utf8(batch.column(0))
             raw, marks = data.tobytes(), offsets.tolist()
             streams = []
@@ -127,7 +137,7 @@ def count_corpus(texts: DataFrame, text_col: str = "text") -> DataFrame:
             for _, some, head in slabs(streams):
                 gram, _ = grams_of(some)
                 keys, counts = count_grams(gram[head:])
-                parts.append((keys, counts))
+                parts.append((keys, counts.astype(np.int32)))
                 held += len(keys)
                 if held > GRAMS:
                     parts = [merge_counts(parts)]
@@ -266,6 +276,15 @@ def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
     return ((context * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
 
 
+def split_by_part(gram: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part numbers that occur, order of the grams by part, where each part begins in it, and the end)."""
+    part = part_of(gram, parts)
+    order = np.argsort(part, kind="stable")
+    sorted_ = part[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(gram) else np.zeros(0, np.int64)
+    return sorted_[first], order, np.append(first, len(gram))
+
+
 def part_column(parts: int) -> Column:
     return F.expr(f"cast((shiftrightunsigned((shiftrightunsigned(gram, 8) & {(1 << 8 * DEEP) - 1}) * 2654435761L, 16)) % {parts} as int)")
 
@@ -316,7 +335,7 @@ def distinct_grams(streams: list[bytes]) -> np.ndarray:
     held = NodeCounts()
     for _, some, head in slabs(streams):
         held.add(*count_grams(grams_of(some)[0][head:]))
-        if len(held.parts) > 8:
+        if len(held.parts) > 16:
             held.parts = list(held.rows())
     return next(held.rows())[0]
 
@@ -336,7 +355,7 @@ def unpack_grams(packed: bytes) -> np.ndarray:
 def looked_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The values of grams that are all among ``keys``."""
     stands, same = repeats(gram)
-    held = np.zeros(len(gram))
+    held = np.zeros(len(gram), values.dtype)
     first = np.flatnonzero(np.bincount(stands[same], minlength=len(gram)))
     held[first] = values[np.searchsorted(keys, gram[first])]
     out = held[stands]
@@ -455,13 +474,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
         def ask() -> pa.RecordBatch:
             gram = distinct_grams(waiting)
-            part = part_of(gram, parts)
-            found = np.unique(part)
-            lists = pa.array([pack_grams(gram[part == x]) for x in found], pa.binary())
+            found, order, first = split_by_part(gram, parts)
+            gram = gram[order]
+            lists = pa.array([pack_grams(gram[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
             columns = {"block": pa.array([block] * len(found), pa.int64()), "part": pa.array(found, pa.int32()), "packed": lists}
             return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(found), f.type) for f in arrow], schema=arrow)
 
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = utf8(batch.column(1))
             raw, marks = data.tobytes(), offsets.tolist()
             at = 0
@@ -501,9 +520,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         mine = mine.combine_chunks()
         streams = mine.column("stream").to_pylist()
         gram = distinct_grams(streams)
-        part, value = part_of(gram, parts), np.zeros(len(gram))
+        found, order, first = split_by_part(gram, parts)
+        value, at = np.zeros(len(gram), np.float32), {int(x): k for k, x in enumerate(found)}
         for x, packed in zip(values.column("part").to_pylist(), values.column("packed").to_pylist(), strict=True):
-            value[part == x] = np.frombuffer(packed, np.float32)
+            value[order[first[at[x]] : first[at[x] + 1]]] = np.frombuffer(packed, np.float32)
         score = score_streams(streams, lambda g: looked_up(g, gram, value))
         return mine.select([f.name for f in kept]).append_column("score", pa.array(score, pa.float64()))
 
