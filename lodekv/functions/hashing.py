@@ -2,6 +2,7 @@
 
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,22 @@ def fnv1a(key: bytes) -> int:
     return h
 
 
+def fnv1a_all(keys: list[bytes]) -> np.ndarray:
+    """FNV-1a of many keys at once, byte position by byte position; keys are taken longest first."""
+    lengths = np.array([len(k) for k in keys], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
+    data = np.frombuffer(b"".join(keys), np.uint8).astype(np.uint64)
+    h = np.full(len(keys), FNV_OFFSET, np.uint64)
+    shorter = np.sort(lengths)
+    for i in range(int(lengths.max(initial=0))):
+        n = len(keys) - int(np.searchsorted(shorter, i, "right"))  # keys longer than i
+        h[:n] = (h[:n] ^ data[starts[:n] + i]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def bloom_positions(spark, key: Column | str, n: int, rate: float = 0.01) -> Column:
     """Bit positions of a key under double hashing of its FNV-1a halves (32-bit wrap-around), by an Arrow UDF.
 
@@ -44,11 +61,9 @@ def bloom_positions(spark, key: Column | str, n: int, rate: float = 0.01) -> Col
 
     @F.pandas_udf("array<long>")
     def positions(keys: pd.Series) -> pd.Series:
-        out = []
-        for k in keys:
-            h = fnv1a((k or "").encode())
-            low, high = h & 0xFFFFFFFF, (h >> 32) or 1
-            out.append([((low + i * high) & 0xFFFFFFFF) % bits for i in range(count)])
-        return pd.Series(out)
+        h = fnv1a_all([(k or "").encode() for k in keys])
+        low, high = h & np.uint64(0xFFFFFFFF), np.maximum(h >> np.uint64(32), np.uint64(1))
+        at = (low[:, None] + np.arange(count, dtype=np.uint64) * high[:, None]) & np.uint64(0xFFFFFFFF)
+        return pd.Series(list((at % np.uint64(bits)).astype(np.int64)), dtype=object)
 
     return positions(F.col(key) if isinstance(key, str) else key)

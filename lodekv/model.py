@@ -22,6 +22,10 @@ class ParseError(StatementError):
         super().__init__(f"parser errors: [{' '.join(errors)}]")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the store since this one opened it."""
+
+
 class KeyExists(StatementError):
     def __init__(self, key: str):
         self.key = key

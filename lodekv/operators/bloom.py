@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +29,16 @@ def check(keys: DataFrame, bits: DataFrame, n: int, rate: float = 0.01) -> DataF
         uid = placed.select("key", "__at").distinct()
         hit = uid.select("key", F.explode("__at").alias("position")).distinct().join(bits, "position", "left_anti").select("key").distinct()
         return placed.drop("__at").join(hit.withColumn("__no", F.lit(True)), "key", "left").withColumn("maybe", F.col("__no").isNull()).drop("__no")
-    field = bytearray(-(-size // 8))
-    for r in bits.toLocalIterator():  # at most ``size`` positions
-        field[r.position >> 3] |= 1 << (r.position & 7)
-    sent = spark.sparkContext.broadcast(bytes(field))
+    merged = bits.groupBy(F.shiftright("position", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(position & 31 AS int))) AS mask")).toArrow()
+    field = np.zeros(size // 32 + 1, np.uint32)  # at most MAX_BITS / 32 words
+    field[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(field)
 
     @F.pandas_udf("boolean")
     def all_set(positions: pd.Series) -> pd.Series:
-        held = sent.value
-        return positions.map(lambda at: all(held[p >> 3] >> (p & 7) & 1 for p in at))
+        if not len(positions):
+            return pd.Series([], dtype=bool)
+        at = np.stack(positions.to_list())
+        return pd.Series((sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(axis=1).astype(bool))
 
     return placed.withColumn("maybe", all_set("__at")).drop("__at")

@@ -51,6 +51,16 @@ def root(keys: DataFrame, leaf: Column | None = None) -> DataFrame:
     return level.select(F.col("h").alias("root"))
 
 
+def compare(a: DataFrame, b: DataFrame, leaf: Column | None = None) -> DataFrame:
+    """One row: both roots (null for no keys), ``equal`` (empty trees are equal to empty ones only), and ``skip``.
+
+    Anti-entropy skips a peer where the roots are equal or either tree is empty.
+    """
+    mine, theirs = (root(keys, leaf).agg(F.max("root").alias("root")) for keys in (a, b))  # one row each
+    both = mine.select(F.col("root").alias("mine"), theirs.scalar().alias("theirs")).withColumn("equal", F.col("mine").eqNullSafe(F.col("theirs")))
+    return both.withColumn("skip", F.col("equal") | F.col("mine").isNull() | F.col("theirs").isNull())
+
+
 def equal(a: DataFrame, b: DataFrame, leaf: Column | None = None) -> bool:
     """Are both trees the same? Empty trees are equal only to empty ones."""
-    return [r.root for r in root(a, leaf).collect()] == [r.root for r in root(b, leaf).collect()]
+    return compare(a, b, leaf).first()["equal"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import digest
 from .ring import REPLICAS, Ring, place
 
 
@@ -18,6 +19,16 @@ def owned(peer: DataFrame, mine: DataFrame, ring: Ring, me: str, count: int = RE
     return place(missing(peer, mine), ring, count).where(F.array_contains("replicas", me)).select("key", "value")
 
 
+def gated(peer: DataFrame, mine: DataFrame, ring: Ring, me: str, count: int = REPLICAS) -> DataFrame:
+    """The pairs of :func:`owned`, or none where the digests of both key sets are equal or one of them is empty.
+
+    Only the roots are compared first; the pairs are looked at only where they differ.
+    """
+    if digest.compare(mine, peer).first()["skip"]:
+        return peer.select("key", "value").limit(0)
+    return owned(peer, mine, ring, me, count)
+
+
 def repair(peer: DataFrame, mine: DataFrame, ring: Ring, me: str, count: int = REPLICAS) -> DataFrame:
     """Our pairs after the repair."""
     return mine.select("key", "value").unionByName(owned(peer, mine, ring, me, count))

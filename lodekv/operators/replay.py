@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..model import BANISH, MORPH, PLANT
 
+#: Pairs of a statement that are sent to the workers; a larger one is joined by shuffle.
+SENT_PAIRS = 1_000_000
 
 #: Sequence numbers of one chunk of a key's history; a key with more of them is replayed by several tasks.
 CHUNK = 1 << 20
@@ -50,7 +52,8 @@ def judge_pairs(state: DataFrame, pairs: DataFrame, op: str) -> DataFrame:
 
     PLANT conflicts with a key of the state or of an earlier pair, MORPH with a key that the state lacks.
     """
-    known = state.select("key", F.lit(True).alias("__known"))
+    listed = _sent(pairs.select("key").distinct(), pairs)
+    known = state.join(listed, "key", "left_semi").select("key", F.lit(True).alias("__known"))  # no more rows than pairs
     judged = pairs.join(known, "key", "left")
     if op == PLANT:
         again = F.row_number().over(Window.partitionBy("key").orderBy("pos")) > 1
@@ -62,15 +65,25 @@ def judge_pairs(state: DataFrame, pairs: DataFrame, op: str) -> DataFrame:
 
 
 def after_pairs(state: DataFrame, pairs: DataFrame, op: str) -> DataFrame:
-    """State after a multi-pair statement: later pairs of a key win."""
+    """State after a multi-pair statement: later pairs of a key win.
+
+    Accepted pairs of a PLANT have keys that the state lacks, so they are added to it; those of a MORPH replace
+    values in place. The state itself is never shuffled, but for a statement of more than ``SENT_PAIRS`` pairs.
+    """
     accepted = judge_pairs(state, pairs, op).where("accepted").groupBy("key").agg(F.max_by("value", "pos").alias("__new"))
-    joined = state.join(accepted, "key", "full" if op == PLANT else "left")
-    return joined.select("key", F.coalesce("__new", "value").alias("value"))
+    if op == PLANT:
+        return state.select("key", "value").unionByName(accepted.select("key", F.col("__new").alias("value")))
+    return state.join(_sent(accepted, pairs), "key", "left").select("key", F.coalesce("__new", "value").alias("value"))
+
+
+def _sent(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows``, which are no more than ``pairs``, with a broadcast hint if a count allows it."""
+    return F.broadcast(rows) if pairs.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS else rows
 
 
 def banish(state: DataFrame, keys: DataFrame) -> DataFrame:
     """State without the listed keys."""
-    return state.join(keys.select("key").distinct(), "key", "left_anti")
+    return state.join(_sent(keys.select("key").distinct(), keys), "key", "left_anti")
 
 
 def applied_count(op: str, rows: DataFrame) -> DataFrame:

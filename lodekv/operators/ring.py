@@ -18,15 +18,31 @@ from ..functions.hashing import crc
 VNODES, REPLICAS = 50, 2
 #: Arcs that are broadcast by a hint; a larger ring is left to the optimizer's own size check.
 MAX_BROADCAST_ARCS = 200_000
+#: Nodes of a ring at most.
+MAX_NODES = 10_000
 _TOP = (1 << 32) - 1
 
 
+def members(log: DataFrame) -> DataFrame:
+    """``node`` of the live members by a log ``seq, node, op``: those whose newest operation is ``JOIN``."""
+    newest = log.groupBy("node").agg(F.max_by("op", "seq").alias("op"))
+    return newest.where("op = 'JOIN'").select("node")
+
+
 class Ring:
     def __init__(self, nodes: list[str], vnodes: int = VNODES):
         self.nodes = list(dict.fromkeys(nodes))
         self.owner = {crc32(f"{n}#{i}".encode()): n for n in self.nodes for i in range(vnodes)}  # a later node takes a shared hash
         self.hashes = sorted(self.owner)
 
+    @classmethod
+    def of(cls, members: DataFrame, vnodes: int = VNODES) -> "Ring":
+        """The ring of the ``node`` names of a table of members; a ring is metadata, so their number is checked."""
+        names = [r["node"] for r in members.select("node").where("node IS NOT NULL").distinct().orderBy("node").limit(MAX_NODES + 1).collect()]
+        if len(names) > MAX_NODES:
+            raise ValueError(f"more than {MAX_NODES} nodes")
+        return cls(names, vnodes)
+
     def at(self, i: int) -> str:
         return self.owner[self.hashes[i % len(self.hashes)]]
 

@@ -6,10 +6,12 @@ the statement lists), keeps the pairs before the first conflict, and appends the
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import APPLIED, BANISH, MORPH, PLANT, SET, KeyExists, KeyMissing
+from ..operators import digest
 from ..operators.replay import replay
 from ..operators.snapshot import total
 from ..runtime import materialize
@@ -19,13 +21,32 @@ from .statements import Banish, Reveal, Write, parse
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: Store | str):
-        self.spark = spark
+    """``cache``: keep the state of the current version in memory and on disk; a write makes it stale."""
+
+    def __init__(self, spark: SparkSession, store: Store | str, cache: bool = False):
+        self.spark, self.cache = spark, cache
         self.store = Store(spark, store) if isinstance(store, str) else store
+        self._cached: tuple[int, DataFrame] | None = None
+        self._root: tuple[int, str | None] | None = None
 
     @property
     def state(self) -> DataFrame:
-        return self.store.state()
+        if not self.cache:
+            return self.store.state()
+        version = self.store.manifest["version"]
+        if self._cached is None or self._cached[0] != version:
+            if self._cached is not None:
+                self._cached[1].unpersist()
+            self._cached = version, self.store.state().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._cached[1]
+
+    def digest_root(self) -> str | None:
+        """The root of the digest over the keys (null for none), computed once for each version."""
+        version = self.store.manifest["version"]
+        if self._root is None or self._root[0] != version:
+            found = digest.root(self.state).first()
+            self._root = version, found["root"] if found else None
+        return self._root[1]
 
     # statements
 
@@ -54,7 +75,7 @@ class Engine:
 
     def _write(self, statement: Write) -> DataFrame:
         listed = sorted({k for k, _ in statement.pairs})
-        known = {r.key for r in self.state.where(F.col("key").isin(listed)).select("key").collect()} if listed else set()
+        known = {r.key for r in reveal.hits_of(self.state, listed).select("key").collect()}  # no more than are listed
         accepted, error = [], None
         for key, value in statement.pairs:
             if statement.op == PLANT and key in known:
@@ -88,13 +109,17 @@ class Engine:
         return reveal.reveal_keys(self.state, [key])
 
     def set(self, pairs: DataFrame) -> None:
-        """Unconditional upsert of ``key, value`` rows; of a repeated key one row wins, as ``pos`` says if there is one."""
-        pos = F.col("pos") if "pos" in pairs.columns else F.monotonically_increasing_id()
-        self.store.append(pairs.select(pos.alias("pos"), F.lit(SET).alias("op"), "key", "value"))
+        """Unconditional upsert of ``key, value`` rows; of a repeated key one row wins, as ``pos`` says if there is one.
+
+        Each key comes once, so all rows share one sequence number.
+        """
+        pos = F.col("pos") if "pos" in pairs.columns else F.lit(0)
+        newest = pairs.groupBy("key").agg(F.max_by(F.struct("value"), pos).alias("__new"))
+        self.store.append(newest.select(F.lit(0).alias("pos"), F.lit(SET).alias("op"), "key", "__new.value"))
 
     def delete(self, keys: DataFrame) -> None:
         """Unconditional; keys that do not exist are no error."""
-        self.store.append(keys.select(F.monotonically_increasing_id().alias("pos"), F.lit(BANISH).alias("op"), "key", F.lit(None).cast("string").alias("value")))
+        self.store.append(keys.select("key").distinct().select(F.lit(0).alias("pos"), F.lit(BANISH).alias("op"), "key", F.lit(None).cast("string").alias("value")))
 
     def keys(self, offset: int | None = None, limit: int | None = None) -> DataFrame:
         return reveal.keys_page(self.state, offset, limit)

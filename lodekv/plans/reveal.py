@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.replay import SENT_PAIRS
+
 #: A listed request of at most this many keys is pushed to the scan as a literal list.
 LITERAL_KEYS = 1000
 PAGE, MAX_PAGE = 20, 500
@@ -21,13 +23,15 @@ def reveal_keys(state: DataFrame, keys: list[str]) -> DataFrame:
     The state is reduced to the requested keys first (pushed into the scan), so that the outer join meets a
     table no larger than the request.
     """
-    asked = request(state.sparkSession, keys)
-    wanted = sorted(set(keys))
-    if len(wanted) <= LITERAL_KEYS:
-        hits = state.where(F.col("key").isin(wanted)) if wanted else state.where(F.lit(False))
-    else:
-        hits = state.join(F.broadcast(asked.select("key").distinct()), "key", "left_semi")  # the statement's own text
-    return reveal_requests(hits, asked, reduced=True)
+    return reveal_requests(hits_of(state, sorted(set(keys))), request(state.sparkSession, keys), reduced=True)
+
+
+def hits_of(state: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of distinct ``keys``: by a pushed condition for few of them, by a semi-join for more."""
+    if len(keys) <= LITERAL_KEYS:
+        return state.where(F.col("key").isin(keys)) if keys else state.where(F.lit(False))
+    listed = request(state.sparkSession, keys).select("key")
+    return state.join(F.broadcast(listed) if len(keys) <= SENT_PAIRS else listed, "key", "left_semi")
 
 
 def reveal_requests(state: DataFrame, asked: DataFrame, reduced: bool = False) -> DataFrame:

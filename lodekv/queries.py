@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from . import workload as w
 from .functions.hashing import bloom_positions, crc
 from .operators import bloom, digest, repair, replay, ring, snapshot
 from .plans import reveal
-from .runtime import table
-from .sources.textlog import parse_lines
+from .runtime import materialize, shared_path, table
+from .sources.textlog import read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 LISTED = ["customer:7", "customer:3", "customer:7", "customer:nope"]
@@ -37,6 +38,13 @@ def _last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.last_wins(rows)
 
 
+def _wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a log that was written to text files and is read from them."""
+    path = shared_path(spark, "wal")
+    w.log_lines(spark, sf_dir).orderBy("line").select("value").write.text(path)
+    return snapshot.snapshot(read_log(spark, path))
+
+
 def _page(rows: DataFrame) -> DataFrame:
     """Rows of a page with their position, so that the order is part of the result."""
     from pyspark.sql import Window
@@ -49,9 +57,12 @@ def _merkle_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merkle_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = w.kv_customer(spark, sf_dir), w.kv_customer(spark, sf_dir).orderBy(F.desc("key"))
-    both = digest.root(a).withColumnRenamed("root", "a").join(digest.root(b).withColumnRenamed("root", "b"), F.col("a") == F.col("b"), "full")
-    return both.select(F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal")).agg(F.min("equal").alias("equal"))
+    """NodeA against the keys it should hold: before and after its repair, and a node without keys."""
+    peer, mine = _peer(spark, sf_dir)
+    should = ring.place(peer, ring.Ring(w.NODES)).where(F.array_contains("replicas", "NodeA")).select("key", "value")
+    healed = materialize(repair.repair(peer, mine, ring.Ring(w.NODES), "NodeA"), "healed")
+    cases = [("before", mine), ("after", healed), ("no keys", mine.limit(0))]
+    return reduce(DataFrame.unionByName, [digest.compare(keys, should).select(F.lit(name).alias("case"), "mine", "theirs", "equal", "skip") for name, keys in cases])
 
 
 def _peer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -80,10 +91,10 @@ def _bloom_fnv_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # scans and state
-    "run_scan": lambda s, d: w.runs(s, d).where("run_id = 1").select("run_id", "key", "value"),
-    "run_keys": lambda s, d: w.runs(s, d).where("run_id = 1").select("key"),
+    "run_scan": lambda s, d: w.runs(s, d).select("run_id", "key", "value"),
+    "run_keys": lambda s, d: w.runs(s, d).select("run_id", "key"),
     "point_get": lambda s, d: snapshot.snapshot(w.log_upsert(s, d)).where("key = 'user:42'"),
-    "wal_replay": lambda s, d: snapshot.snapshot(parse_lines(w.log_lines(s, d))),
+    "wal_replay": _wal_replay,
     "snapshot_latest": lambda s, d: snapshot.snapshot(w.log_upsert(s, d)),
     "upsert_snapshot": lambda s, d: snapshot.snapshot(w.log_upsert(s, d).where("op = 'SET'")),
     "tombstone_snapshot": lambda s, d: snapshot.latest(w.log_upsert(s, d)).where("op = 'BANISH'").select("key"),
@@ -123,6 +134,8 @@ QUERIES: dict[str, Query] = {
     "ring_moved_count": lambda s, d: ring.moved_count(w.ring_keys(s), *_old_new()),
     "ring_moved_pct": lambda s, d: ring.moved_percent(w.ring_keys(s), *_old_new()),
     "rebalance_plan": lambda s, d: ring.rebalance_plan(w.ring_keys(s), *_old_new()),
+    "members_live": lambda s, d: ring.members(w.member_log(s, d)),
+    "members_ring": lambda s, d: ring.Ring.of(ring.members(w.member_log(s, d))).vnodes(s),
     "members": lambda s, d: s.createDataFrame([(n,) for n in w.MORE_NODES], "node string"),
     # cluster reads
     "scatter_union_all": lambda s, d: ring.scatter(w.stored(s, d), w.NODES),
@@ -136,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "merkle_equal": _merkle_equal,
     "repair_missing": lambda s, d: repair.missing(*_peer(s, d)),
     "repair_owned": lambda s, d: repair.owned(*_peer(s, d), ring.Ring(w.NODES), "NodeA"),
+    "repair_gated": lambda s, d: repair.gated(*_peer(s, d), ring.Ring(w.NODES), "NodeA"),
     "bloom_fnv": lambda s, d: w.kv_customer(s, d).select("key", F.array_join(bloom_positions(s, "key", 100), ",").alias("positions")),
 }
 QUERIES["bloom_check"] = _bloom_check
@@ -167,6 +181,7 @@ def _placed(keys: str, nodes: list[str]) -> str:
 FROM (SELECT *, {_CRC.format(k='key')} AS h FROM ({keys})) k ASOF LEFT JOIN ({_vnodes(nodes)}) v ON k.h <= v.vnode_hash"""
 
 
+_MEMBERS = "SELECT node FROM (SELECT 'Node' || (user_id % 40) AS node, arg_max(CASE WHEN event_type = 'error' THEN 'LEAVE' ELSE 'JOIN' END, event_id) AS op FROM events GROUP BY 1) WHERE op = 'JOIN'"
 _RING_KEYS = "SELECT 'Key-' || i AS key FROM range(100000) r(i)"
 _MOVES = f"SELECT a.key, a.node AS from_node, b.node AS to_node FROM ({_placed(_RING_KEYS, w.NODES)}) a JOIN ({_placed(_RING_KEYS, w.MORE_NODES)}) b ON a.key = b.key"
 # the second replica: the first virtual node after the key whose node is not the owner
@@ -175,12 +190,26 @@ FROM ({_placed(_MIXED, w.NODES)}) p JOIN ({_vnodes(w.NODES)}) v ON v.node <> p.n
 _STORED = f"""SELECT * FROM (SELECT node, 0 AS replica_rank, key, value, h FROM ({_SECOND}) UNION ALL SELECT second, 1, key, value, h FROM ({_SECOND})) WHERE NOT (node = 'NodeA' AND h % 10 = 0)"""
 _PEER = f"SELECT DISTINCT key, value FROM ({_STORED}) WHERE node <> 'NodeA'"
 _MISSING = f"SELECT * FROM ({_PEER}) WHERE key NOT IN (SELECT key FROM ({_STORED}) WHERE node = 'NodeA')"
-_ROOT = f"""WITH RECURSIVE t(l) AS (
-  SELECT list(sha256(key) ORDER BY key) FROM ({_CUSTOMER})
+
+
+
+def _root(keys: str) -> str:
+    return f"""WITH RECURSIVE t(l) AS (
+  SELECT list(sha256(key) ORDER BY key) FROM ({keys})
   UNION ALL SELECT list_transform(range((len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1]))) FROM t WHERE len(l) > 1)
 SELECT l[1] AS root FROM t WHERE len(l) = 1"""
 
 
+_OWNED = f"SELECT m.key, m.value FROM ({_MISSING}) m JOIN ({_SECOND}) p ON m.key = p.key WHERE p.node = 'NodeA' OR p.second = 'NodeA'"
+_HELD = f"SELECT key FROM ({_STORED}) WHERE node = 'NodeA'"
+_SHOULD = f"SELECT s.key FROM ({_PEER}) s JOIN ({_SECOND}) p ON s.key = p.key WHERE p.node = 'NodeA' OR p.second = 'NodeA'"
+
+
+def _compared(case: str, mine: str, theirs: str) -> str:
+    return f"""SELECT '{case}' AS "case", mine, theirs, mine IS NOT DISTINCT FROM theirs AS equal, mine IS NOT DISTINCT FROM theirs OR mine IS NULL OR theirs IS NULL AS skip
+FROM (SELECT ({_root(mine)}) AS mine, ({_root(theirs)}) AS theirs)"""
+
+
 def _revealed(keys: list[str]) -> str:
     listed = ", ".join(f"({i}, '{k}')" for i, k in enumerate(keys))
     return f"SELECT r.pos::INT AS pos, r.key, k.value, k.key IS NOT NULL AS found FROM (VALUES {listed}) r(pos, key) LEFT JOIN ({_CUSTOMER}) k ON r.key = k.key"
@@ -201,8 +230,8 @@ _FNV = f"""WITH f AS (SELECT key, list_reduce(list_prepend(14695981039346656037:
 p AS (SELECT key, list_transform(range(6), lambda i: (((h & 4294967295::HUGEINT) + i * greatest(h >> 32, 1::HUGEINT)) & 4294967295::HUGEINT) % 958) AS bits_at FROM f)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "run_scan": f"SELECT * FROM ({_RUNS}) WHERE run_id = 1",
-    "run_keys": f"SELECT key FROM ({_RUNS}) WHERE run_id = 1",
+    "run_scan": _RUNS,
+    "run_keys": f"SELECT run_id, key FROM ({_RUNS})",
     "point_get": f"SELECT key, value FROM ({_NEWEST.format(_UPSERT)}) WHERE op <> 'BANISH' AND key = 'user:42'",
     "wal_replay": f"SELECT key, value FROM ({_NEWEST.format(_UPSERT)}) WHERE op <> 'BANISH'",
     "snapshot_latest": f"SELECT key, value FROM ({_NEWEST.format(_UPSERT)}) WHERE op <> 'BANISH'",
@@ -241,6 +270,8 @@ ORACLE_SQL: dict[str, str] = {
     "ring_moved_count": f"SELECT count(*) FILTER (from_node <> to_node) AS moved, count(*) AS total FROM ({_MOVES})",
     "ring_moved_pct": f"SELECT count(*) FILTER (from_node <> to_node) * 100.0::DOUBLE / count(*) AS pct FROM ({_MOVES})",
     "rebalance_plan": f"SELECT * FROM ({_MOVES}) WHERE from_node <> to_node",
+    "members_live": _MEMBERS,
+    "members_ring": f"SELECT {_CRC.format(k='k')} AS vnode_hash, node FROM (SELECT (node || '#' || i) AS k, node FROM ({_MEMBERS}) n, range(50) r(i)) QUALIFY row_number() OVER (PARTITION BY vnode_hash ORDER BY node DESC) = 1",
     "members": "SELECT * FROM (VALUES ('NodeA'), ('NodeB'), ('NodeC'), ('NodeD')) n(node)",
     "scatter_union_all": f"SELECT key, value FROM ({_STORED})",
     "cluster_keys": f"SELECT DISTINCT key FROM ({_STORED})",
@@ -248,10 +279,11 @@ ORACLE_SQL: dict[str, str] = {
     "replica_read": f"SELECT key, arg_min(value, replica_rank) AS value, min(replica_rank)::INT AS replica_rank FROM ({_STORED}) GROUP BY key",
     "quorum_check": f"SELECT key, count(*) AS n_replicas, count(*) >= 2 AS quorum FROM ({_STORED}) GROUP BY key",
     "merkle_leaves": f"SELECT row_number() OVER (ORDER BY key) - 1 AS i, sha256(key) AS h FROM ({_CUSTOMER})",
-    "merkle_root": _ROOT,
-    "merkle_equal": "SELECT true AS equal",
+    "merkle_root": _root(_CUSTOMER),
+    "merkle_equal": " UNION ALL ".join(f"({_compared(case, mine, _SHOULD)})" for case, mine in (("before", _HELD), ("after", f"{_HELD} UNION ALL SELECT key FROM ({_OWNED})"), ("no keys", f"{_HELD} AND false"))),
     "repair_missing": _MISSING,
-    "repair_owned": f"SELECT m.key, m.value FROM ({_MISSING}) m JOIN ({_SECOND}) p ON m.key = p.key WHERE p.node = 'NodeA' OR p.second = 'NodeA'",
+    "repair_owned": _OWNED,
+    "repair_gated": _OWNED,
     "bloom_fnv": f"{_FNV} SELECT key, array_to_string(bits_at, ',') AS positions FROM p",
     "bloom_check": f"{_FNV}, b AS (SELECT list(DISTINCT x) AS bits FROM (SELECT unnest(bits_at) AS x FROM p WHERE substr(key, 10)::INT < 100)) SELECT key, list_has_all(bits, bits_at) AS maybe FROM p, b",
 }

@@ -1,18 +1,21 @@
 """Versioned store: append-only log batches, sorted snapshots and a manifest, on any Hadoop file system.
 
-Layout below the root: ``log/batch=N`` and ``snapshot/version=N`` (Parquet) and ``manifest.json``. Files that the
+Layout below the root: ``log/batch=N`` and ``snapshot/version=N`` (Parquet; ``N`` is a number and a suffix of the writer's
+own, so that no writer replaces another's files) and ``manifest.json``. Files that the
 manifest does not name are invisible. A change writes new files first and then replaces the manifest by a
-rename; readers pin the manifest that they opened. One writer at a time.
+rename; readers pin the manifest that they opened. One writer at a time: a commit onto a manifest that is no longer
+the one opened is an error.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import BANISH, LOG, SET
+from ..model import BANISH, LOG, SET, ConcurrentWrite
 from ..operators.snapshot import latest
 
 #: Bytes of log batches from which ``maintain`` compacts.
@@ -40,7 +43,16 @@ class Store:
         finally:
             stream.close()
 
+    def _check(self) -> None:
+        found = self._load()
+        if (found or {"version": 0})["version"] != self.manifest["version"]:
+            raise ConcurrentWrite(f"the store is at version {found['version'] if found else 0}, this writer opened version {self.manifest['version']}")
+
+    def _own(self, number: int) -> str:
+        return f"{number}-{uuid.uuid4().hex[:12]}"
+
     def _commit(self, **changes) -> None:
+        self._check()
         new = {**self.manifest, **changes, "version": self.manifest["version"] + 1}
         temporary = self._path("manifest.json.new")
         stream = self._fs.create(temporary, True)
@@ -79,27 +91,31 @@ class Store:
     # writing
 
     def append(self, rows: DataFrame, **note) -> None:
-        """Add ``pos, op, key, value`` rows as one batch, in order of ``pos`` (a number from 0, unique).
+        """Add ``pos, op, key, value`` rows as one batch, in order of ``pos`` (a number from 0, unique for each key).
 
         ``note``: entries of the manifest that change with the batch, in the same commit.
         """
-        batch, base = self.manifest["next_batch"], self.manifest["next_seq"]
+        self._check()
+        number, base = self.manifest["next_batch"], self.manifest["next_seq"]
+        batch = self._own(number)
         target = f"{self.root}/log/batch={batch}"
         numbered = rows.select((F.col("pos").cast("long") + base).alias("seq"), "op", "key", "value")
         numbered.write.mode("overwrite").parquet(target)
         last = self.spark.read.schema(LOG).parquet(target).agg(F.max("seq")).first()[0]
         if last is not None:
-            note |= {"batches": [*self.manifest["batches"], batch], "next_batch": batch + 1, "next_seq": last + 1}
+            note |= {"batches": [*self.manifest["batches"], batch], "next_batch": number + 1, "next_seq": last + 1}
         if note:
             self._commit(**note)
 
     def compact(self) -> None:
         """Write the state as a new snapshot, sorted by key with a Bloom filter per file, and forget the batches."""
-        version = self.manifest["next_batch"]
+        self._check()
+        number = self.manifest["next_batch"]
+        version = self._own(number)
         rows = self.state().select(F.lit(-1).cast("long").alias("seq"), F.lit(SET).alias("op"), "key", "value")
         writer = rows.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite")
         writer.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.root}/snapshot/version={version}")
-        self._commit(snapshot=version, batches=[], next_batch=version + 1)
+        self._commit(snapshot=version, batches=[], next_batch=number + 1)
 
     def log_bytes(self) -> int:
         return sum(self._fs.getContentSummary(self._path(f"log/batch={n}")).getLength() for n in self.manifest["batches"])

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import BANISH, SET
+from ..runtime import materialize
+
+_ROW_BITS = 33  # of monotonically_increasing_id
 
 
 def parse_lines(lines: DataFrame, order: str = "line", text: str = "value") -> DataFrame:
@@ -18,14 +21,19 @@ def parse_lines(lines: DataFrame, order: str = "line", text: str = "value") -> D
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A text log as ``kv_log``. A file's lines keep their order; files are taken in the order of their names."""
+    """A text log as ``seq, op, key, value``: ``seq`` is the line's number over all files, from 0.
+
+    A file's lines keep their order; files are taken in the order of their names. A split's lines are numbered in its
+    own task, and the driver adds up the splits' line counts (one row for each split of a file).
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
-    # one file is read front to back: its blocks in order, and lines in order within a block's task
-    keyed = lines.withColumn("line", F.struct("file", "block", "m"))
-    part = F.split("value", r"\|", 3)
-    put = F.get(part, 0) == "PUT"
-    rows = keyed.where((put & (F.size(part) == 3)) | ((F.get(part, 0) == "DELETE") & (F.size(part) >= 2)))
-    return rows.select(F.col("line").alias("seq"), F.when(put, SET).otherwise(BANISH).alias("op"), F.get(part, 1).alias("key"), F.when(put, F.get(part, 2)).alias("value"))
+    held = materialize(lines, "lines").withColumn("p", F.shiftright("m", _ROW_BITS))
+    offsets, at = [], 0
+    for r in held.groupBy("file", "block", "p").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("file", "block").collect():
+        offsets.append((r["file"], r["block"], r["p"], at - r["first"]))
+        at += r["n"]
+    table = spark.createDataFrame(offsets, "file string, block long, p long, shift long")
+    return parse_lines(held.join(table, ["file", "block", "p"]).select((F.col("m") + F.col("shift")).alias("line"), "value"))
 
 
 def to_lines(log: DataFrame) -> DataFrame:

@@ -60,6 +60,13 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where(~((F.col("node") == "NodeA") & (F.crc32(F.encode("key", "UTF-8")) % 10 == 0)))
 
 
+def member_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that join and leave, as events of users say; ``seq, node, op``."""
+    kind = F.col("event_type")
+    op = F.when(kind == "error", "LEAVE").otherwise("JOIN")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("Node"), (F.col("user_id") % 40).cast("string")).alias("node"), op.alias("op"))
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``log_upsert`` as numbered text lines."""
     rows = log_upsert(spark, sf_dir)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodekv.model import KeyExists, KeyMissing
+from lodekv.model import ConcurrentWrite, KeyExists, KeyMissing
 from lodekv.operators import digest
 from lodekv.plans.engine import Engine
 from lodekv.sources.store import Store
@@ -155,3 +155,45 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(streaming.live(spark.table("newest")).collect()) == sorted(snapshot(upserts).collect())
+
+
+def test_cache_follows_the_version(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), cache=True)
+    assert e.digest_root() is None
+    e.execute("PLANT (a WITH 1, b WITH 2)")
+    held = e.state
+    assert held.storageLevel.useMemory and e.state is held and state(e) == {"a": "1", "b": "2"}
+    root = e.digest_root()
+    e.execute("BANISH a")
+    assert e.state is not held and not held.storageLevel.useMemory and state(e) == {"b": "2"} and e.digest_root() != root
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    other = Engine(spark, str(tmp_path / "store"))
+    e.execute("PLANT a WITH 1")
+    with pytest.raises(ConcurrentWrite):
+        other.execute("PLANT a WITH 2")
+    assert state(Engine(spark, str(tmp_path / "store"))) == {"a": "1"}
+
+
+def test_bulk_writes_take_one_number(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    many = spark.range(1000).selectExpr("concat('k', id % 300) AS key", "cast(id AS string) AS value", "id AS pos").repartition(7)
+    e.set(many)
+    assert e.store.manifest["next_seq"] == 1 and state(e) == {f"k{i}": str(i + 900 if i < 100 else i + 600) for i in range(300)}
+    e.delete(many.where("pos < 250"))
+    e.set(spark.createDataFrame([("k1", None)], "key string, value string"))
+    assert e.store.manifest["next_seq"] == 3 and set(state(e)) == {"k1", *(f"k{i}" for i in range(250, 300))} and state(e)["k1"] is None
+
+
+def test_long_statements(spark, tmp_path, monkeypatch):
+    from lodekv.plans import reveal
+
+    monkeypatch.setattr(reveal, "LITERAL_KEYS", 2)
+    e = Engine(spark, str(tmp_path / "store"))
+    e.execute("PLANT (a WITH 1, b WITH 2, c WITH 3)")
+    with pytest.raises(KeyExists):
+        e.execute("PLANT (d WITH 4, e WITH 5, c WITH 6, f WITH 7)")
+    assert state(e) == {"a": "1", "b": "2", "c": "3", "d": "4", "e": "5"}
+    assert [r.value for r in e.execute("REVEAL (e, a, zz, b)").collect()] == ["5", "1", None, "2"]

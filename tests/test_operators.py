@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+from bisect import bisect_left
+from zlib import crc32
 
 import pytest
 
 from lodekv import workload
-from lodekv.functions.hashing import bloom_shape, fnv1a
+from lodekv.functions.hashing import bloom_shape, fnv1a, fnv1a_all
 from lodekv.operators import digest, repair, replay, ring, snapshot
 from lodekv.sources.textlog import read_log, write_log
 
@@ -102,6 +104,65 @@ def test_repair_heals(spark):
     assert not digest.equal(damaged, mine) and digest.equal(healed, mine)
 
 
+def test_digest_gates_the_repair(spark):
+    r, schema = ring.Ring(workload.NODES), "key string, value string"
+    peer = spark.createDataFrame([(f"k{i}", "v") for i in range(50)], schema)
+    some, none = peer.where("key <> 'k7'"), peer.limit(0)
+    wanted = {k for k in ("k7",) if "NodeA" in r.walk(bisect_left(r.hashes, crc32(k.encode())), 2)}
+    assert {x.key for x in repair.gated(peer, some, r, "NodeA").collect()} == wanted
+    for a, b, equal, skip in ((peer, some, False, False), (peer, peer, True, True), (none, some, False, True), (some, none, False, True), (none, none, True, True)):
+        row = digest.compare(a, b).first()
+        assert (row["equal"], row["skip"]) == (equal, skip) and digest.equal(a, b) == equal
+        if skip:
+            assert repair.gated(b, a, r, "NodeA").collect() == []
+
+
+def test_statements_do_not_shuffle_the_state(spark, tmp_path):
+    spark.range(5000).selectExpr("concat('k', id) AS key", "'v' AS value").write.parquet(str(tmp_path / "state"))
+    state = spark.read.parquet(str(tmp_path / "state"))
+    pairs = spark.createDataFrame([(0, "k1", "a"), (1, "n1", "b")], "pos int, key string, value string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (replay.after_pairs(state, pairs.where("pos = 1"), "PLANT"), replay.after_pairs(state, pairs.where("pos = 0"), "MORPH"), replay.banish(state, pairs)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            scans = [i for i, line in enumerate(lines) if "FileScan" in line]
+            assert scans and "BroadcastHashJoin" in plan
+            for i in scans:  # what is above a scan of the state first: no exchange before a broadcast join has reduced it
+                above = [kind for line in reversed(lines[:i]) for kind in ("BroadcastHashJoin", "Exchange hashpartitioning(key", "Union") if kind in line]
+                assert above[0] != "Exchange hashpartitioning(key"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert {(r.key, r.value) for r in replay.after_pairs(state, pairs, "MORPH").where("key IN ('k1', 'n1')").collect()} == {("k1", "a")}
+
+
+def test_log_lines_have_long_numbers(spark, tmp_path):
+    from lodekv.sources.store import Store
+
+    (tmp_path / "log").mkdir()
+    for k in range(3):
+        (tmp_path / "log" / f"{k}.txt").write_text("".join(f"PUT|k{j % 5}|{k}-{j}\n" for j in range(40)) + "odd\n")
+    log = read_log(spark, str(tmp_path / "log"))
+    assert log.dtypes == [("seq", "bigint"), ("op", "string"), ("key", "string"), ("value", "string")]
+    assert [(r.seq, r.value) for r in log.orderBy("seq").collect()] == [(41 * k + j, f"{k}-{j}") for k in range(3) for j in range(40)]
+    store = Store(spark, str(tmp_path / "store"))
+    store.append(log.withColumnRenamed("seq", "pos"))
+    assert {r.key: r.value for r in store.state().collect()} == {f"k{j}": f"2-{35 + j}" for j in range(5)}
+
+
+def test_ring_from_members(spark):
+    log = spark.createDataFrame([(1, "b", "JOIN"), (2, "a", "JOIN"), (3, "b", "LEAVE"), (4, "c", "JOIN"), (5, None, "JOIN")], "seq long, node string, op string")
+    assert ring.Ring.of(ring.members(log)).nodes == ["a", "c"]
+    assert ring.Ring.of(ring.members(log.limit(0))).nodes == []
+
+
+def test_hashes_of_many_keys():
+    rng = random.Random(4)
+    keys = [bytes(rng.randrange(256) for _ in range(rng.randrange(30))) for _ in range(200)] + [b"", b"a"]
+    assert fnv1a_all(keys).tolist() == [fnv1a(k) for k in keys] and len(fnv1a_all([])) == 0
+
+
 def test_bloom_shape():
     assert bloom_shape(100) == (958, 6) and bloom_shape(10_000)[0] == 95_850 and bloom_shape(0) == (1, 1)
     assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
@@ -121,4 +182,22 @@ def test_hot_keys_join(spark):
 def test_queries_have_sql_and_import_without_llm():
     from lodekv import queries
 
-    assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"bloom_check_all", "bloom_fnv_all"} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_bloom_over_all_keys_against_plain_arithmetic(spark):
+    from lodekv import queries
+
+    sf = "/root/testdata/sf0.001"
+    held = [r.key for r in workload.kv_customer(spark, sf).select("key").collect()]
+    size, count = bloom_shape(len(held))
+
+    def positions(key):
+        h = fnv1a(key.encode())
+        return [((h & 0xFFFFFFFF) + i * ((h >> 32) or 1) & 0xFFFFFFFF) % size for i in range(count)]
+
+    assert {(r.key, r.positions) for r in queries.QUERIES["bloom_fnv_all"](spark, sf).collect()} == {(k, ",".join(map(str, positions(k)))) for k in held}
+    bits = {p for k in held for p in positions(k)}
+    want = sorted((r.key, all(p in bits for p in positions(r.key))) for r in workload.kv_mixed(spark, sf).collect())
+    got = sorted(map(tuple, queries.QUERIES["bloom_check_all"](spark, sf).collect()))
+    assert got == want and sum(maybe for _, maybe in want) < len(want) - 200
