@@ -1,7 +1,8 @@
 """Corpus cleaning: language ID, near-duplicates, benchmark decontamination, then BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
-reads it again as the next stage's documents. All stages but the last return the columns of ``docs``.
+reads it again as the next stage's documents; what the stage wrote on its way, and the output of the stage before, is
+then deleted. All stages but the last return the columns of ``docs``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodekv.llm import bpe, decontaminate, langid, simhash
-from lodekv.runtime import materialize, table
+from lodekv.runtime import discard, materialize, scratch, table
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: one with the group's smallest id."""
     return simhash.keep_one_of_each(docs)
 
 
@@ -44,12 +45,16 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Character models and fingerprint components are not expressible in SQL; see tests/llm/test_pipeline.py.
+#: Character models and fingerprint components are not expressible in SQL; see tests/llm/test_tables.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            out = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(out)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

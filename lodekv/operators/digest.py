@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha
-from ..runtime import discard, materialize
+from ..runtime import discard, materialize, scratch
 
 #: Levels that one shuffle climbs: groups of 2**LEVELS nodes are reduced inside one row.
 LEVELS = 10
@@ -38,7 +38,9 @@ def _climb(nodes: Column, levels: int) -> Column:
 
 def root(keys: DataFrame, leaf: Column | None = None) -> DataFrame:
     """``root`` of the tree; no row for no keys."""
-    level = materialize(leaves(keys, leaf), "level")
+    with scratch(keys.sparkSession) as kept:
+        level = materialize(leaves(keys, leaf), "level")
+        kept.append(level)
     n = level.count()
     while n > 1:
         steps = LEVELS if n > 1 << LEVELS else (n - 1).bit_length()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``, or a fresh one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodekv-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -41,7 +43,33 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/lodekv-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lodekv-{label}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes on leaving what was written to the shared folder inside, but for the tables put into the list it gives.
+
+    Lazy results that were made inside and still read such files must be materialised and kept. Without a scope
+    the files belong to whoever owns the shared folder, for the life of the session's results.
+    """
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        spared = {getattr(df, "_lodekv_path", None) for df in kept}
+        for path in made:
+            if path not in spared:
+                delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -168,6 +168,22 @@ def test_bloom_shape():
     assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
 
 
+def test_scratch_files_go_but_kept_tables_stay(spark):
+    from pathlib import Path
+
+    from lodekv.runtime import materialize, scratch
+
+    exists = lambda df: Path(df._lodekv_path.removeprefix("file://")).exists()
+    with scratch(spark) as kept:
+        a = materialize(spark.range(3), "a")
+        with scratch(spark):
+            b = materialize(spark.range(4), "b")
+        c = materialize(spark.range(5), "c")
+        kept.append(c)
+        assert exists(a) and not exists(b)
+    assert not exists(a) and exists(c) and c.count() == 5
+
+
 def test_hot_keys_join(spark):
     from pyspark.sql import functions as F
 
