@@ -163,7 +163,10 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Data
     ``nodes``: ``v`` and its ``rep`` (of any type with an order, never null). A round takes the least label of the
     neighbours, hooks it to the node that the old label points at, and then jumps from each label to that node's label.
     """
+    # the trees depend on the order in which rows arrive: both directions must come from one evaluation of the edges
+    edges = materialize(edges.select("u", "w"), "links")
     both = materialize(edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "edges")
+    discard(edges)
     touched = both.select(F.col("u").alias("v")).distinct()
     state = materialize(nodes.join(touched, "v", "left_semi").select("v", F.struct("rep", "v").alias("label")), "labels")
     for _ in range(max_rounds):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -156,6 +157,20 @@ def test_empty(spark):
     assert simhash.keep_one_of_each(df).collect() == []
 
 
+def test_edges_that_differ_at_each_evaluation(spark):
+    """Links are the same components whichever trees and directions an evaluation gives."""
+
+    def either(batches):
+        for batch in batches:
+            flip = np.random.default_rng().random(batch.num_rows) < 0.5
+            u, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(flip, u, w)), pa.array(np.where(flip, w, u))], names=["u", "w"])
+
+    nodes = spark.range(60).selectExpr("id AS v", "id AS rep")
+    edges = spark.range(59).selectExpr("id AS u", "id + 1 AS w").mapInArrow(either, "u long, w long")
+    assert {r.label.rep for r in simhash.connected(nodes, edges).collect()} == {0}
+
+
 def test_long_chain(spark):
     """Components do not need a link between their ends."""
     chain = [0]
