@@ -71,9 +71,16 @@ def _peer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _bloom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All customer keys against a filter, sized for 100 keys, of those with a number below 100."""
-    keys = w.kv_customer(spark, sf_dir).select("key")
-    return bloom.check(keys, bloom.build(keys.where("cast(substring(key, 10) as int) < 100"), 100), 100)
+    """All customer keys against a filter of the keys of all suppliers' pairs, sized by their number."""
+    held = _pairs(spark, sf_dir, 0).select("key")
+    n = held.count()
+    return bloom.check(w.kv_customer(spark, sf_dir).select("key"), bloom.build(held, n), n)
+
+
+def _bloom_fnv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of all keys of the mixed keyspace in a filter sized by their number."""
+    keys = w.kv_mixed(spark, sf_dir).select("key")
+    return keys.select("key", F.array_join(bloom_positions(spark, "key", keys.count()), ",").alias("positions"))
 
 
 def _bloom_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +157,12 @@ QUERIES: dict[str, Query] = {
     "repair_missing": lambda s, d: repair.missing(*_peer(s, d)),
     "repair_owned": lambda s, d: repair.owned(*_peer(s, d), ring.Ring(w.NODES), "NodeA"),
     "repair_gated": lambda s, d: repair.gated(*_peer(s, d), ring.Ring(w.NODES), "NodeA"),
-    "bloom_fnv": lambda s, d: w.kv_customer(s, d).select("key", F.array_join(bloom_positions(s, "key", 100), ",").alias("positions")),
+    # Bloom filters
+    "bloom_fnv": _bloom_fnv,
+    "bloom_fnv_all": _bloom_fnv_all,
+    "bloom_check": _bloom_check,
+    "bloom_check_all": _bloom_check_all,
 }
-QUERIES["bloom_check"] = _bloom_check
-QUERIES |= {"bloom_check_all": _bloom_check_all, "bloom_fnv_all": _bloom_fnv_all}
 
 _CUSTOMER = "SELECT 'customer:' || c_custkey AS key, c_name AS value FROM customer"
 _MIXED = f"{_CUSTOMER} UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'part:' || p_partkey, p_name FROM part"
@@ -225,9 +234,22 @@ def _paged(keys: str, offset: int, limit: int) -> str:
     return f"SELECT key, (row_number() OVER (ORDER BY key) - 1)::INT AS pos FROM (SELECT key FROM ({keys}) ORDER BY key LIMIT {limit} OFFSET {offset})"
 
 
-_FNV = f"""WITH f AS (SELECT key, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(length(key)), lambda i: ord(key[i + 1])::HUGEINT)),
-  lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) & 18446744073709551615::HUGEINT) AS h FROM ({_CUSTOMER})),
-p AS (SELECT key, list_transform(range(6), lambda i: (((h & 4294967295::HUGEINT) + i * greatest(h >> 32, 1::HUGEINT)) & 4294967295::HUGEINT) % 958) AS bits_at FROM f)"""
+_SUPPLIED = f"SELECT key FROM ({_PAIRS.format(0)})"
+
+
+def _bits(keys: str, held: str) -> str:
+    """SQL of ``key, places``: the positions of ``keys`` in a filter sized for the number of ``held`` at an error rate of 1 %."""
+    return f"""SELECT key, list_transform(range(hashes), lambda i: (((h & 4294967295::HUGEINT) + i * greatest(h >> 32, 1::HUGEINT)) & 4294967295::HUGEINT) % size) AS places
+FROM (SELECT key, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(length(key)), lambda i: ord(key[i + 1])::HUGEINT)),
+  lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) & 18446744073709551615::HUGEINT) AS h FROM ({keys})),
+(SELECT size, greatest(1, trunc(size / n * ln(2))::BIGINT) AS hashes FROM (SELECT n, greatest(1, trunc(-n * ln(0.01) / (ln(2) * ln(2)))::BIGINT) AS size FROM (SELECT count(*) AS n FROM ({held}))))"""
+
+
+def _maybe(keys: str, held: str) -> str:
+    """SQL of ``key, maybe``: whether all positions of a key are set by those of ``held``."""
+    return f"""SELECT key, bool_and(s.x IS NOT NULL) AS maybe FROM (SELECT key, unnest(places) AS x FROM ({_bits(keys, held)})) p
+LEFT JOIN (SELECT DISTINCT unnest(places) AS x FROM ({_bits(held, held)})) s ON p.x = s.x GROUP BY key"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "run_scan": _RUNS,
@@ -284,6 +306,8 @@ ORACLE_SQL: dict[str, str] = {
     "repair_missing": _MISSING,
     "repair_owned": _OWNED,
     "repair_gated": _OWNED,
-    "bloom_fnv": f"{_FNV} SELECT key, array_to_string(bits_at, ',') AS positions FROM p",
-    "bloom_check": f"{_FNV}, b AS (SELECT list(DISTINCT x) AS bits FROM (SELECT unnest(bits_at) AS x FROM p WHERE substr(key, 10)::INT < 100)) SELECT key, list_has_all(bits, bits_at) AS maybe FROM p, b",
+    "bloom_fnv": f"SELECT key, array_to_string(places, ',') AS positions FROM ({_bits(_MIXED, _MIXED)})",
+    "bloom_fnv_all": f"SELECT key, array_to_string(places, ',') AS positions FROM ({_bits(_CUSTOMER, _CUSTOMER)})",
+    "bloom_check": _maybe(_CUSTOMER, _SUPPLIED),
+    "bloom_check_all": _maybe(_MIXED, _CUSTOMER),
 }

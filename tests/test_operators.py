@@ -198,7 +198,7 @@ def test_hot_keys_join(spark):
 def test_queries_have_sql_and_import_without_llm():
     from lodekv import queries
 
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"bloom_check_all", "bloom_fnv_all"} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert set(queries.ORACLE_SQL) == set(queries.QUERIES)
 
 
 def test_bloom_over_all_keys_against_plain_arithmetic(spark):
