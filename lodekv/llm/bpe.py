@@ -5,7 +5,8 @@ word occur side by side in no token of the vocabulary, no merge can ever cross:
 word is cut at all such places, the fragments are encoded independently (and remembered, since fragments
 repeat far more than words), and the ids are concatenated.
 
-Defined results: a null text is empty (no ids, empty decoded text); repeated rows stay; columns of the input
+Defined results: a null text is empty (no ids, empty decoded text); repeated rows stay; an empty table gives no
+rows; texts of any length are encoded whole; columns of the input
 that have the name of a result are replaced. Added tokens that stand in a text become their ids, as the
 library does by default.
 """

@@ -4,7 +4,8 @@ A word's symbols form a doubly linked list; a heap holds the rank of every adjac
 lowest rank is popped again and again, stale entries are skipped, and each merge only joins two list nodes.
 The count of a word is its initial symbols minus its merges: no identifier is ever looked up.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows stay; a text of one huge word
+Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows stay; an empty table gives no
+rows; a text of one huge word
 takes O(n log n) time and O(n) memory; columns of the input that have the name of a result are replaced.
 """
 

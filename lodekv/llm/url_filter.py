@@ -15,7 +15,8 @@ large for a plan (``max_bits``), the keys are split by hash into slices, each sl
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and so no rule; repeated
 pages stay; with no rules every page gets the default verdict; null, repeated or contradictory rules: null
-ones are ignored, repeated ones count once, a key that is both allowed and blocked is blocked.
+ones are ignored, repeated ones count once, a key that is both allowed and blocked is blocked; an empty table gives no
+rows; URLs of any length are read whole; columns of the pages that have the name of a result are replaced, others stay.
 """
 
 from __future__ import annotations

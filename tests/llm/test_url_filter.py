@@ -60,3 +60,12 @@ def test_edges(spark):
     assert [(r.rule, r.verdict) for r in u.filter_urls(df, [], []).collect()] == [(None, "allow")] * 2
     assert [(r.rule, r.verdict) for r in u.filter_urls(df, ["net/"], ["net/"]).collect()] == [("net/", "block")] * 2
     assert u.filter_urls(df.limit(0), BLOCK, ALLOW).collect() == []
+
+
+def test_long_urls_and_clashing_names(spark):
+    tail = "a/" * 200_000
+    rows = [(1, "http://x.org/fr/" + tail, "old"), (2, "http://" + "s." * 50_000 + "net/" + tail, "old")]
+    got = u.filter_urls(spark.createDataFrame(rows, "page_id long, url string, Verdict string"), ["net/"], ["org/fr/"])
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    found = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in got.collect()}
+    assert found == {1: (5, 4 + len(tail), "org/fr/", "allow"), 2: (100_003, 1 + len(tail), "net/", "block")}
