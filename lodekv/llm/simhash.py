@@ -3,8 +3,9 @@
 1. Each text gets a 64-bit fingerprint (XXH64 of 4-word shingles). Equal fingerprints are merged first, by a
    pre-aggregated group-by, so that a group of exact copies is one row from here on.
 2. Fingerprints that differ in at most k bits agree on some choice of bit blocks; they are dealt into a
-   bucket for each choice. A bucket beyond ``BUCKET`` rows is split by hash, and every pair of parts is a bucket
-   of its own: nothing is dropped and no task holds more than two parts.
+   bucket for each choice. The rows of a bucket beyond ``FULL * BUCKET`` are dealt again by k + 1 runs of their other
+   bits, on one of which linked ones agree, ``ROUNDS`` times at most. A bucket that is still beyond ``BUCKET`` rows is
+   split by hash, and every pair of parts is a bucket of its own: nothing is dropped and no task holds more than two parts.
 3. Within buckets a Gray-order hierarchical index finds the links; only a spanning tree of each bucket's
    components (with at most three edges at a node) is emitted, never all pairs.
 4. Components of these trees are found by min-label rounds with hooking and shortcuts; every round is written
@@ -19,6 +20,7 @@ columns of the input may have any names, only the id and the text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,8 +35,8 @@ from .columns import utf8, with_columns
 from .gray_index import GrayIndex, components, trees
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Rows of one part of a bucket.
-BUCKET = 512
+#: Rows of one part of a bucket; parts beyond which a bucket is dealt again by more bits, and how often.
+BUCKET, FULL, ROUNDS = 512, 10, 2
 #: Comparisons that one search may hold at once.
 CHUNK = 2_000_000
 #: Shingles that are hashed at once.
@@ -142,18 +144,44 @@ def _edges_of_sorted(most: int):
     return run
 
 
-def links(distinct: DataFrame, n: int, most: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (u, w) that connect exactly the components of ``distinct`` fingerprints (column ``fp``)."""
+def finer(mask: int, most: int) -> list[int]:
+    """``mask`` with each of ``most + 1`` runs of its other bits: of those, two fingerprints within ``most`` bits agree on one."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // (most + 1) for i in range(most + 2)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def dealt(distinct: DataFrame, n: int, most: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """Rows ``m, v, i, j, fp``: the buckets (mask number, bits under it, two parts) in which each fingerprint is compared."""
     masks = masks_for(n, most)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("m", "v"))
-    crowded = materialize(dealt.groupBy("m", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "crowded")
+    rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "v"))
+    done, full = [], F.coalesce("n", F.lit(1)) > bucket * FULL
+    for rounds in range(ROUNDS, -1, -1):
+        crowded = materialize(rows.groupBy("m", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "crowded")
+        rows = rows.join(crowded, ["m", "v"], "left")
+        again = [r["m"] for r in crowded.where(full).select("m").distinct().collect()] if rounds else []  # at most one for each mask
+        if not again:
+            break
+        done.append(rows.where(~full))
+        more = [(m, x) for m in again for x in finer(masks[m], most)]
+        into = distinct.sparkSession.createDataFrame([(m, len(masks) + k, _signed(x)) for k, (m, x) in enumerate(more)], "m int, to int, mask long")
+        masks += [x for _, x in more]
+        rows = rows.where(full).join(F.broadcast(into), "m").select("fp", F.col("to").alias("m"), F.col("fp").bitwiseAND(F.col("mask")).alias("v"))
+    rows = reduce(DataFrame.unionByName, [*done, rows])
     parts = F.ceil(F.coalesce("n", F.lit(1)) / bucket).cast("int")
-    rows = dealt.join(crowded, ["m", "v"], "left").select("m", "v", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
+    rows = rows.select("m", "v", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
     rows = rows.select("m", "v", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("m", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return rows.select("m", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+
+
+def links(distinct: DataFrame, n: int, most: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (u, w) that connect exactly the components of ``distinct`` fingerprints (column ``fp``)."""
     shuffles = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(shuffles, "m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j")
+    rows = dealt(distinct, n, most, bucket).repartition(shuffles, "m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j")
     return rows.mapInArrow(_edges_of_sorted(most), "u long, w long")
 
 

@@ -80,6 +80,35 @@ def test_masks_cover():
             assert any(not diff & m for m in masks)
 
 
+def test_finer_masks_cover():
+    rng = random.Random(6)
+    for mask in (*simhash.masks_for(10, 4), *simhash.masks_for(1 << 40, 4)):
+        free = [b for b in range(64) if not mask >> b & 1]
+        more = simhash.finer(mask, 4)
+        assert len(more) == 5 and all(m & mask == mask and m != mask for m in more)
+        for _ in range(50):
+            diff = sum(1 << b for b in rng.sample(free, 4))
+            assert any(not diff & m for m in more)
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_full_buckets_are_dealt_again(spark, tight):
+    """Many fingerprints that agree on a block: few copies, and the components of brute force."""
+    rng = random.Random(8)
+    fps = {x >> 16 for x in near(rng, 1500, 500)} if not tight else {rng.getrandbits(14) << 3 for _ in range(1200)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    rows = simhash.dealt(df, len(fps), 4, 8)
+    held = rows.groupBy("m", "v", "i", "j").count().agg({"count": "max"}).first()[0]
+    assert held <= 64  # two parts of about eight
+    if not tight:
+        assert rows.count() < len(fps) * 5 * len(fps) / 8 / 20  # all pairs of parts would be more than twenty times as many
+    nodes = df.selectExpr("fp AS v", "fp AS rep")
+    got = {r.v: r.label.rep for r in simhash.connected(nodes, simhash.links(df, len(fps), 4, 8)).collect()}
+    comp = plain_components(fps)
+    assert [got.get(x, x) for x in fps] == [fps[c] for c in comp]
+
+
 def test_local_components():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
